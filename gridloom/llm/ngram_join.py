@@ -5,10 +5,12 @@ compared. Candidates share one of 32 bands of 4 of 128 MinHash values (a pair at
 Their values are then compared in steps; a pair is dropped as soon as the posterior probability that its similarity
 reaches the threshold falls below `TOLERANCE` (flat prior, binomial matches). Those that remain are verified exactly.
 
-Large groups of near copies do not become pairs. 1 - Jaccard is a metric: all sets within 0.1 of one centre are
-within 0.2 of each other. For each large bucket a centre is made (shingles that most of a few members hold; any centre is
-valid) and every member is compared with it exactly, which is linear. Members inside the ball are all linked with each other and
-are counted, not paired; pairs are only made between members of different balls or of none. No link is lost.
+Large groups of near copies do not become pairs. Nodes that share large buckets, directly or in steps, form a group. Of
+each group a centre is made (shingles that most of a few members hold; any set is a valid centre) and every member is
+compared with it exactly. 1 - Jaccard is a metric, so all members within 0.1 of the centre are within 0.2 of each other: they
+are linked and counted without being compared. The other members meet all of their group in blocks of bounded size,
+each pair of blocks a task of its own that prunes and verifies its pairs as matrices and returns a count of links and a spanning
+forest for each node, never the pairs. No link is lost.
 
 The result is one row per document: class_id (the smallest doc_id linked to it directly or in steps), n_links (other
 documents of similarity 0.8 or more, copies included), n_shingles.
@@ -37,7 +39,8 @@ THRESHOLD = (4, 5)  # as a fraction
 HASHES, BAND = 128, 4
 STEP = 16
 TOLERANCE = 1e-6
-LARGE = 32  # a bucket of more members than this looks for a ball first
+LARGE = 32  # nodes that share a bucket of more members than this are a group
+BLOCK = 512  # members of a group that one side of a task holds, on average
 CENTRE_SAMPLE = 64
 FILTER_BITS = 1 << 27
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,27 +192,95 @@ def _compared(rows: DataFrame, keep: list[str], numerator: int, denominator: int
     return rows.select(*keep, "set_a", "set_b").mapInArrow(compare, schema)
 
 
-def _balls(docs: DataFrame, text_col: str, nodes: DataFrame, large: DataFrame) -> DataFrame:
-    """(node, ball): nodes of large buckets that lie within half the allowed distance of their bucket's centre."""
-    home = large.groupBy("node").agg(F.max(F.struct("n", "key")).alias("h")).select("node", F.col("h.key").alias("ball"))
-    home = materialize(home, "home")
-    sets = materialize(_sets_of(docs, text_col, nodes.join(home, "node").select("node", "fp")), "large-sets")
-    nth = F.row_number().over(Window.partitionBy("ball").orderBy(F.xxhash64("node"), "node"))
-    some = home.withColumn("nth", nth).filter(F.col("nth") <= CENTRE_SAMPLE).select("node", "ball")
+def _balls(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node) of a group (node, comp) that lie within half the allowed distance of their group's centre."""
+    nth = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("node"), "node"))
+    some = group.withColumn("nth", nth).filter(F.col("nth") <= CENTRE_SAMPLE).select("node", "comp")
 
     def centre(pdf: pd.DataFrame) -> pd.DataFrame:
         values, n = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in pdf["set"]]), return_counts=True)
-        return pd.DataFrame({"ball": [pdf["ball"].iloc[0]], "set_b": [values[2 * n > len(pdf)].tobytes()]})
+        return pd.DataFrame({"comp": [pdf["comp"].iloc[0]], "set_b": [values[2 * n > len(pdf)].tobytes()]})
 
-    centres = materialize(some.join(sets, "node").groupBy("ball").applyInPandas(centre, "ball long, set_b binary"), "centres")
-    members = materialize(home.join(sets.withColumnRenamed("set", "set_a"), "node"), "ball-members")
+    centres = materialize(some.join(sets, "node").groupBy("comp").applyInPandas(centre, "comp long, set_b binary"), "centres")
+    members = group.join(sets.withColumnRenamed("set", "set_a"), "node").join(centres, "comp")
     num, den = THRESHOLD[0] + THRESHOLD[1], 2 * THRESHOLD[1]  # half way from the threshold to 1
-    balls = materialize(_compared(members.join(centres, "ball"), ["node", "ball"], num, den), "balls")
-    for t in (home, sets, members, centres):
-        discard(t)
+    balls = materialize(_compared(members, ["node"], num, den), "balls")
+    discard(centres)
     return balls
 
 
+def linked_in_block(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of left and right rows (as a matrix) are linked: pruned by their MinHash values, then verified exactly."""
+    least = least_matches()
+    live = left[:, None] < right[None, :] if left is right else np.ones((len(left), len(right)), bool)
+    same = np.zeros(live.shape, np.int16)
+    for n in range(STEP, HASHES + 1, STEP):
+        for k in range(n - STEP, n):
+            same += sig[left, k][:, None] == sig[right, k][None, :]
+        live &= same >= least[n]
+        if not live.any():
+            return live
+    rows, cols = np.flatnonzero(live.any(axis=1)), np.flatnonzero(live.any(axis=0))
+    a, b = [sets[i] for i in left[rows]], [sets[i] for i in right[cols]]
+    known = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)))
+    both = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, len(known), 8192):
+        part = known[start : start + 8192]
+
+        def incidence(side: list[np.ndarray], part: np.ndarray = part) -> np.ndarray:
+            out = np.zeros((len(side), len(part)), np.float32)
+            for i, s in enumerate(side):
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                at = np.searchsorted(part, s)
+                out[i, at[part[at] == s]] = 1
+            return out
+
+        both += incidence(a) @ incidence(b).T
+    union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - both
+    out = np.zeros(live.shape, bool)
+    out[np.ix_(rows, cols)] = both * THRESHOLD[1] >= union * THRESHOLD[0]
+    return out & live
+
+
+def _group_links(group: DataFrame, sets: DataFrame, balls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, c, label): partial sums of the weights a node is linked to within its group, outside its ball, and another node of its component."""
+    placed = group.join(balls.withColumn("inner", F.lit(True)), "node", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+    sizes = placed.groupBy("comp").agg(F.ceil(F.sum((~F.col("inner")).cast("long")) / BLOCK).alias("outs"), F.ceil(F.sum(F.col("inner").cast("long")) / BLOCK).alias("inns"))
+    placed = placed.join(sizes.filter("outs > 0"), "comp")
+    # blocks of outer members are numbered from 0, those of the ball from `outs` on; a task is a pair of blocks p <= q with p outer
+    mine = F.when(F.col("inner"), F.col("outs") + F.pmod(F.xxhash64("node"), F.greatest("inns", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("outs")))
+    placed = placed.withColumn("mine", mine)
+    last = F.when(F.col("inner"), F.col("outs")).otherwise(F.col("outs") + F.col("inns")) - 1
+    tasks = placed.select("comp", "node", "mine", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    tasks = tasks.select("comp", "node", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") <= F.col("other")).alias("first"), (F.col("mine") == F.col("other")).alias("alone"))
+    rows = tasks.join(nodes.select("node", "weight", "sig"), "node").join(sets, "node")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        sig = np.stack(pdf["sig"].to_numpy())
+        held = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
+        left = np.flatnonzero(pdf["first"])
+        right = left if pdf["alone"].iloc[0] else np.flatnonzero(~pdf["first"])
+        n, weight = len(pdf), pdf["weight"].to_numpy()
+        links = np.zeros((n, n), bool)
+        if len(left) and len(right):
+            links[np.ix_(left, right)] = linked_in_block(sig, held, left, right)
+        links |= links.T
+        label = np.arange(n)
+        while True:  # the least row of each component
+            near = np.where(links, label[None, :], n).min(axis=1, initial=n)
+            new = np.minimum(label, near)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        some = links.any(axis=1)
+        node = pdf["node"].to_numpy()
+        return pd.DataFrame({"node": node[some], "c": (links * weight[None, :]).sum(axis=1)[some], "label": node[label[some]]})
+
+    return materialize(rows.groupBy("comp", "p", "q").applyInPandas(compare, "node long, c long, label long"), "group-links")
+
+
 def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose MinHash values, compared step by step, keep the threshold possible."""
     least = least_matches()
@@ -255,28 +326,21 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * BAND + 1, BAND)))
     banded = nodes.select("node", F.explode(band).alias("key"))
-    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1"), "buckets")
     members = materialize(banded.join(shared, "key"), "members")
     large = members.filter(F.col("n") > LARGE)
-    balls = None
-    if not large.isEmpty():
-        balls = _balls(docs, "text", nodes, large)
-        placed = materialize(members.join(balls, "node", "left"), "placed")
-        discard(members)
+    grouped = not large.isEmpty()
+    if grouped:
+        group = materialize(components(large.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()).withColumnRenamed("label", "comp"), "groups")
+        sets = materialize(_sets_of(docs, "text", nodes.join(group, "node").select("node", "fp")), "group-sets")
+        balls = _balls(group, sets)
+        inside = _group_links(group, sets, balls, nodes)
+        discard(sets)
+        placed = members.filter(F.col("n") <= LARGE).join(group, "node", "left")
     else:
-        placed = members.withColumn("ball", F.lit(None).cast("long"))
-
-    apart = ~F.col("l.ball").eqNullSafe(F.col("r.ball")) | F.col("l.ball").isNull()
-    small = placed.filter(F.col("n") <= LARGE)
-    pairs = small.alias("l").join(small.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & apart).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-    if balls is not None:
-        # in a large bucket the members outside its main ball meet all others; two such members meet once
-        tally = placed.filter((F.col("n") > LARGE) & F.col("ball").isNotNull()).groupBy("key", "ball").agg(F.count(F.lit(1)).alias("c"))
-        main = tally.groupBy("key").agg(F.max(F.struct("c", "ball")).alias("m")).select("key", F.col("m.ball").alias("main"))
-        big = materialize(placed.filter(F.col("n") > LARGE).join(main, "key", "left").withColumn("out", F.coalesce(F.col("ball") != F.col("main"), F.lit(True))), "large")
-        once = ~F.col("r.out") | (F.col("l.node") < F.col("r.node"))
-        met = big.filter("out").alias("l").join(big.alias("r"), (F.col("l.key") == F.col("r.key")) & once & (F.col("l.node") != F.col("r.node")) & apart)
-        pairs = pairs.unionByName(met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")))
+        placed = members.withColumn("comp", F.lit(None).cast("long"))
+    apart = F.col("l.comp").isNull() | F.col("r.comp").isNull() | (F.col("l.comp") != F.col("r.comp"))
+    pairs = placed.alias("l").join(placed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & apart).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     likely = materialize(_pruned(pairs.distinct(), nodes), "likely")
 
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -290,12 +354,12 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     weight = nodes.select("node", "weight")
     counted = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     counted = counted.join(weight.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("weight").alias("c"))
-    if balls is not None:
-        held = balls.join(weight, "node")
-        sums = held.groupBy("ball").agg(F.sum("weight").alias("s"), F.min("node").alias("least"))
-        held = materialize(held.join(sums, "ball"), "ball-sums")
-        edges = links.unionByName(held.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")))
-        counted = counted.unionByName(held.select("node", (F.col("s") - F.col("weight")).alias("c"))).groupBy("node").agg(F.sum("c").alias("c"))
+    if grouped:
+        held = balls.join(group, "node").join(weight, "node")
+        sums = held.groupBy("comp").agg(F.sum("weight").alias("s"), F.min("node").alias("least"))
+        held = materialize(held.join(sums, "comp"), "ball-sums")
+        edges = links.unionByName(held.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))).unionByName(inside.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")))
+        counted = counted.unionByName(held.select("node", (F.col("s") - F.col("weight")).alias("c"))).unionByName(inside.select("node", "c")).groupBy("node").agg(F.sum("c").alias("c"))
     label = components(edges)
     info = nodes.select("node", "fp", "doc_id", "weight").join(label, "node", "left").join(counted, "node", "left")
     info = materialize(info.select("fp", "doc_id", "node", F.coalesce("label", "node").alias("label"), (F.col("weight") - 1 + F.coalesce("c", F.lit(0))).alias("links")), "info")

@@ -91,8 +91,10 @@ def test_near_duplicates_match_brute_force(odd):
     assert got == near_by_hand(odd_documents())
 
 
-def test_near_duplicates_without_balls_agree(odd, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LARGE", 10_000)
+@pytest.mark.parametrize(("large", "block"), [(10_000, 512), (4, 7), (2, 30)])
+def test_near_duplicates_agree_for_any_blocks(odd, monkeypatch, large, block):
+    monkeypatch.setattr(ngram_join, "LARGE", large)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_shingles) for r in ngram_join.near_duplicates(odd).collect())
     assert got == near_by_hand(odd_documents())
 
