@@ -1,2 +1,541 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""The query catalogue: each operator over the gridded view, and the same in SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridloom.functions import scalars, vertical
+from gridloom.operators import codec, sampling
+from gridloom.operators import fields as fo
+from gridloom.plans import bridge as b
+from gridloom.sources import archive
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAG_NAMES = {1: "sigma", 2: "pressure", 3: "terrain", 4: "hybrid"}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def with_view(body: str, *ctes: str) -> str:
+    return "WITH RECURSIVE " + ",".join([b.SQL, *ctes]) + "\n" + body
+
+
+def stored_sql(flag: int, level: str = "level") -> str:
+    return "(CASE " + " ".join(f"WHEN {level} = {i} THEN {h}::DOUBLE" for i, h in enumerate(b.AXES[flag])) + " END)"
+
+
+# --- codec -----------------------------------------------------------------------------------------------------------
+
+def _codes(spark, sf):
+    """(t, lev, y, x, code): bytes made of the cells' quantities."""
+    return b.counts(spark, sf).select("t", "lev", "y", "x", (F.floor(F.col("q") * 4) % 256).cast("int").alias("code"))
+
+
+_CODES = "codes AS (SELECT t, lev, y, x, (floor(q * 4)::BIGINT % 256)::INT AS code FROM g)"
+
+
+@query(with_view("SELECT t, lev, y, CASE WHEN sum(code) = 0 THEN 0 ELSE (sum(code) - 1) % 255 + 1 END::BIGINT AS checksum FROM codes GROUP BY t, lev, y", _CODES))
+def q01_checksum(spark, sf):
+    return _codes(spark, sf).groupBy("t", "lev", "y").agg(F.sum("code").alias("s")).select("t", "lev", "y", scalars.checksum(F.col("s")).cast("long").alias("checksum"))
+
+
+_PARAMS = """
+pa AS (SELECT t, lev, y, x, abs(temp - lag(temp) OVER (PARTITION BY t, lev, y ORDER BY x)) AS a, CASE WHEN x = 0 THEN abs(temp - lag(temp) OVER (PARTITION BY t, lev, x ORDER BY y)) END AS d FROM w),
+pb AS (SELECT t, lev, greatest(max(a), max(d)) AS r FROM pa GROUP BY t, lev),
+pc AS (SELECT t, lev, CASE WHEN r > 0 THEN ln(r) / ln(2::DOUBLE) ELSE 0 END AS p FROM pb),
+params AS (SELECT t, lev, (trunc(p) + CASE WHEN p >= 0 OR p = trunc(p) THEN 1 ELSE 0 END)::INT AS exponent, pow(2::DOUBLE, trunc(p) + CASE WHEN p >= 0 OR p = trunc(p) THEN 1 ELSE 0 END) / 254::DOUBLE AS precision FROM pc)"""
+
+
+def _temps(spark, sf):
+    return b.wide(spark, sf).select("t", "lev", "y", "x", F.col("temp").alias("value"))
+
+
+def _params(spark, sf):
+    return codec.pack_parameters(_temps(spark, sf), ["t", "lev"])
+
+
+@query(with_view("SELECT * FROM params", _PARAMS))
+def q02_pack_parameters(spark, sf):
+    return _params(spark, sf)
+
+
+_ENCODED = """
+e0 AS (SELECT w.t, w.lev, w.y, w.x, CASE WHEN abs(temp) < p.precision THEN 0 ELSE temp END AS v, pow(2::DOUBLE, 7 - p.exponent) AS scale FROM w JOIN params p USING (t, lev)),
+c0 AS (SELECT t, lev, y, v, scale, 127 AS code, v AS now FROM e0 WHERE x = 0 AND y = 0 UNION ALL
+  SELECT e.t, e.lev, e.y, e.v, e.scale, floor((e.v - c.now) * e.scale + 127.5::DOUBLE)::INT & 255, c.now + ((floor((e.v - c.now) * e.scale + 127.5::DOUBLE)::INT & 255) - 127) / e.scale FROM c0 c JOIN e0 e ON e.x = 0 AND e.t = c.t AND e.lev = c.lev AND e.y = c.y + 1),
+cr AS (SELECT t, lev, y, 0 AS x, scale, code, now FROM c0 UNION ALL
+  SELECT e.t, e.lev, e.y, e.x, e.scale, floor((e.v - c.now) * e.scale + 127.5::DOUBLE)::INT & 255, c.now + ((floor((e.v - c.now) * e.scale + 127.5::DOUBLE)::INT & 255) - 127) / e.scale FROM cr c JOIN e0 e ON e.t = c.t AND e.lev = c.lev AND e.y = c.y AND e.x = c.x + 1)"""
+
+
+def _encoded(spark, sf):
+    """(t, lev, y, x, code, scale, initial, precision): the first column is folded down, then each row along."""
+    p = _params(spark, sf)
+    cells = _temps(spark, sf).join(F.broadcast(p), ["t", "lev"])  # one small row a field
+    cells = cells.withColumns({"v": codec.zero_small(F.col("value"), F.col("precision")), "scale": F.pow(F.lit(2.0), 7 - F.col("exponent"))})
+    row = cells.groupBy("t", "lev", "y", "scale", "precision").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("vs"))
+    whole = row.groupBy("t", "lev", "scale", "precision").agg(F.array_sort(F.collect_list(F.struct("y", "vs"))).alias("rows"))
+    first = F.transform("rows", lambda r: r["vs"][0])
+    down = codec.encode_rows(first, first[0], F.col("scale"))
+    whole = whole.withColumns({"down": down, "initial": first[0]})
+    at = F.transform("rows", lambda r: F.col("initial") + F.aggregate(F.slice("down", F.lit(1), r["y"] + 1), F.lit(0.0), lambda a, c: a + (c - 127) / F.col("scale")))
+    whole = whole.withColumn("at", at)
+    out = whole.select("t", "lev", "scale", "precision", "initial", "down", "at", F.posexplode("rows").alias("k", "r"))
+    rest = codec.encode_rows(F.slice("r.vs", 2, 1 << 30), F.col("at")[F.col("k")], F.col("scale"))
+    out = out.select("t", "lev", "scale", "precision", "initial", F.col("r.y").alias("y"), F.concat(F.array(F.col("down")[F.col("k")]), rest).alias("codes"))
+    return out.select("t", "lev", "y", "scale", "precision", "initial", F.posexplode("codes").alias("x", "code"))
+
+
+@query(with_view("SELECT t, lev, y, x, code::INT AS code FROM cr", _PARAMS, _ENCODED))
+def q03_encode(spark, sf):
+    return _encoded(spark, sf).select("t", "lev", "y", "x", "code")
+
+
+_STEPS = "d0 AS (SELECT t, lev, y, x, (code - 127) / 64::DOUBLE AS s FROM codes), d1 AS (SELECT *, sum(CASE WHEN x = 0 THEN s END) OVER (PARTITION BY t, lev, x ORDER BY y) AS down FROM d0), dec AS (SELECT t, lev, y, x, 280 + sum(CASE WHEN x = 0 THEN down ELSE s END) OVER (PARTITION BY t, lev, y ORDER BY x) AS value FROM d1)"
+
+
+def _decoded(spark, sf):
+    return codec.decode_cells(_codes(spark, sf), ["t", "lev"], F.lit(64.0), F.lit(280.0), F.lit(0.0)).select("t", "lev", "y", "x", "value")
+
+
+@query(with_view("SELECT * FROM dec", _CODES, _STEPS))
+def q04_decode(spark, sf):
+    return _decoded(spark, sf)
+
+
+@query(with_view("SELECT * FROM dec WHERE x >= 5 AND x < 12 AND y >= 3 AND y < 9", _CODES, _STEPS))
+def q05_decode_window(spark, sf):
+    """Only the window's rows up to its last column, and the first column down to its last row, are decoded."""
+    from gridloom.functions.projection import Window as W
+
+    needed = _codes(spark, sf).where((F.col("x") < 12) & (F.col("y") < 9) & ((F.col("y") >= 3) | (F.col("x") == 0)))
+    out = codec.decode_cells(needed, ["t", "lev"], F.lit(64.0), F.lit(280.0), F.lit(0.0))
+    return out.where(W(5, 12, 3, 9).predicate()).select("t", "lev", "y", "x", "value")
+
+
+@query(with_view("SELECT w.t, w.lev, y, x, CASE WHEN abs(temp - 300) < 8 * p.precision THEN 0 ELSE temp - 300 END::DOUBLE AS value FROM w JOIN params p USING (t, lev)", _PARAMS))
+def q06_zero_small(spark, sf):
+    rows = _temps(spark, sf).join(F.broadcast(_params(spark, sf)), ["t", "lev"])
+    return rows.select("t", "lev", "y", "x", codec.zero_small(F.col("value") - 300, 8 * F.col("precision")).alias("value"))
+
+
+@query(with_view("SELECT a.t, a.lev, a.y, a.x, a.temp + (z.n % 8) / 16::DOUBLE AS value FROM w a JOIN g z USING (t, lev, y, x)"))
+def q07_parent_plus_difference(spark, sf):
+    diff = b.counts(spark, sf).select("t", "lev", "y", "x", ((F.col("n") % 8) / 16.0).alias("d"))
+    return _temps(spark, sf).join(diff, ["t", "lev", "y", "x"]).select("t", "lev", "y", "x", (F.col("value") + F.col("d")).alias("value"))
+
+
+@query(with_view("SELECT c.t, c.lev, c.y, c.x, e.v - CASE WHEN abs(c.now) < p.precision THEN 0 ELSE c.now END AS value FROM cr c JOIN e0 e USING (t, lev, y, x) JOIN params p ON p.t = c.t AND p.lev = c.lev", _PARAMS, _ENCODED))
+def q08_difference_residual(spark, sf):
+    out = codec.decode_cells(_encoded(spark, sf), ["t", "lev"], F.col("scale"), F.col("initial"), F.col("precision")).withColumnRenamed("value", "back")
+    return out.join(_temps(spark, sf), ["t", "lev", "y", "x"]).select("t", "lev", "y", "x", (F.col("value") - F.col("back")).alias("value"))
+
+
+@query(with_view("SELECT t, lev, y, (CASE WHEN sum(code) = 0 THEN 0 ELSE (sum(code) - 1) % 255 + 1 END) = (sum(code) % 255) AS ok FROM codes GROUP BY t, lev, y", _CODES))
+def q09_verify_checksums(spark, sf):
+    """Stored checksums made another way agree unless the sum is a multiple of 255."""
+    s = _codes(spark, sf).groupBy("t", "lev", "y").agg(F.sum("code").alias("s"))
+    return s.select("t", "lev", "y", (scalars.checksum(F.col("s")) == F.col("s") % 255).alias("ok"))
+
+
+# --- filters, grids, datasets ------------------------------------------------------------------------------------------
+
+@query(with_view("SELECT time, level, variable, y, x, value FROM cells WHERE level IN (0, 2) AND variable IN ('TEMP', 'PRSS', 'SHGT') AND variable NOT IN ('SHGT')"))
+def q10_select_records(spark, sf):
+    return fo.select_records(b.cells(spark, sf), [0, 2], ["TEMP", "PRSS", "SHGT"], ["SHGT"])
+
+
+@query(with_view("SELECT time, level, variable, y, x, value, (dense_rank() OVER (ORDER BY level) - 1)::INT AS new_level FROM cells WHERE level IN (1, 3)"))
+def q11_compact_levels(spark, sf):
+    return fo.compact_levels(fo.select_records(b.cells(spark, sf), [1, 3])).select("time", "level", "variable", "y", "x", "value", F.col("new_level").cast("int").alias("new_level"))
+
+
+@query("SELECT o_orderkey, (((o_orderkey * 7 % 1441 - 720 + 180) % 360 + 360) % 360 - 180)::DOUBLE AS lon FROM orders")
+def q12_wrap_longitudes(spark, sf):
+    return b.table(spark, sf, "orders").select("o_orderkey", scalars.wrap_lon((F.col("o_orderkey") * 7 % 1441 - 720).cast("double")).alias("lon"))
+
+
+@query("SELECT y::INT AS y, x::INT AS x, 20::DOUBLE + x AS lon, -10::DOUBLE + y AS lat FROM range(0, 20) a(y), range(0, 20) c(x)")
+def q13_grid_coords(spark, sf):
+    return b.GRID.coords(spark)
+
+
+_BOXES = [(22.5, -8.0, 30.0, 4.5), (35.0, -3.0, 21.0, 9.0)]
+
+
+@query("""WITH c AS (SELECT y, x, 20::DOUBLE + x AS lon, -10::DOUBLE + y AS lat FROM range(0, 20) a(y), range(0, 20) d(x)),
+bx AS (SELECT * FROM (VALUES (0, 22.5::DOUBLE, -8::DOUBLE, 30::DOUBLE, 4.5::DOUBLE), (1, 35, -3, 21, 9)) v(box, w, s, e, n))
+SELECT box::INT AS box, min(x)::INT AS x_start, (max(x) + 1)::INT AS x_stop, min(y)::INT AS y_start, (max(y) + 1)::INT AS y_stop FROM c, bx
+WHERE CASE WHEN w <= e THEN lon BETWEEN w AND e ELSE lon >= w OR lon <= e END AND lat BETWEEN s AND n GROUP BY box""")
+def q14_bbox_window(spark, sf):
+    coords = b.GRID.coords(spark).withColumn("lon", scalars.wrap_lon(F.col("lon")))
+    inside = lambda w, s, e, n: (F.col("lon").between(w, e) if w <= e else (F.col("lon") >= w) | (F.col("lon") <= e)) & F.col("lat").between(s, n)
+    hit = coords.select("*", F.explode(F.array(*[F.when(inside(*box), F.lit(i)).otherwise(F.lit(-1)) for i, box in enumerate(_BOXES)])).alias("box")).where("box >= 0")
+    return hit.groupBy("box").agg(F.min("x").alias("x_start"), (F.max("x") + 1).alias("x_stop"), F.min("y").alias("y_start"), (F.max("y") + 1).alias("y_stop"))
+
+
+@query("SELECT 23::DOUBLE AS sync_lon, -8::DOUBLE AS sync_lat, 1::DOUBLE AS sync_x, 1::DOUBLE AS sync_y, 8 AS nx, 13 AS ny")
+def q15_subset_grid(spark, sf):
+    g = b.GRID.subset(b.GRID.window_from_bbox(_BOXES[0]))
+    p = g.projection
+    return spark.createDataFrame([(float(p.sync_lon), float(p.sync_lat), p.sync_x, p.sync_y, g.nx, g.ny)], "sync_lon double, sync_lat double, sync_x double, sync_y double, nx int, ny int")
+
+
+@query(with_view("SELECT time, (dense_rank() OVER (ORDER BY level) - 1)::INT AS level, variable, y - 2 AS y, x - 3 AS x, value FROM cells WHERE variable IN ('TEMP', 'HGTS') AND level IN (1, 3) AND x >= 3 AND x < 11 AND y >= 2 AND y < 15"))
+def q16_extract_subset(spark, sf):
+    w = b.GRID.window_from_bbox(_BOXES[0])
+    kept = fo.select_records(b.cells(spark, sf).where(w.predicate()), [1, 3], ["TEMP", "HGTS"])
+    return fo.compact_levels(kept).select("time", F.col("new_level").cast("int").alias("level"), "variable", (F.col("y") - w.y_start).alias("y"), (F.col("x") - w.x_start).alias("x"), "value")
+
+
+@query(with_view("SELECT time, (158 + 8 * count(DISTINCT level) + 8 * count(DISTINCT (level, variable)))::BIGINT AS used, 158 + 8 * count(DISTINCT level) + 8 * count(DISTINCT (level, variable)) <= 50 + 12 * 12 AS fits FROM cells GROUP BY time"))
+def q17_record_length(spark, sf):
+    n = b.cells(spark, sf).groupBy("time", "level", "variable").agg(F.lit(1)).groupBy("time").agg((158 + 8 * F.countDistinct("level") + 8 * F.count(F.lit(1))).alias("used"))
+    return n.withColumn("fits", F.col("used") <= scalars.record_length(F.lit(12), F.lit(12)))
+
+
+@query(with_view("SELECT t AS time, lev AS level, y, x, temp AS TEMP, hgts AS HGTS FROM w WHERE lev > 0"))
+def q18_dataset_upper(spark, sf):
+    return fo.dataset(b.cells(spark, sf), ["TEMP", "HGTS"])[0]
+
+
+@query(with_view("SELECT t AS time, y, x, prss AS PRSS, shgt AS SHGT FROM w WHERE lev = 0"))
+def q19_dataset_surface(spark, sf):
+    return fo.dataset(b.cells(spark, sf), ["PRSS", "SHGT"])[1]
+
+
+@query(with_view("SELECT variable FROM cells GROUP BY variable HAVING max(level) = 0"))
+def q19b_surface_variables(spark, sf):
+    return fo.surface_variables(b.cells(spark, sf))
+
+
+@query(with_view("SELECT a.t AS time, a.lev AS level, a.y, a.x, CASE WHEN (a.t, a.lev) NOT IN ((1997, 2), (1998, 0)) THEN temp END AS value FROM w a"))
+def q20_cube(spark, sf):
+    some = b.cells(spark, sf).where("NOT (time = 1997 AND level = 2 OR time = 1998 AND level = 0)")
+    return fo.cube(some, "TEMP")
+
+
+@query("SELECT lev::INT AS lev, CASE lev WHEN 1 THEN 900::DOUBLE WHEN 3 THEN 700 ELSE 0 END AS stored FROM range(0, 4) a(lev)")
+def q21_sparse_axis(spark, sf):
+    return vertical.sparse_axis(vertical.axis_levels(spark, b.AXES[2]).where(F.col("lev").isin(1, 3)))
+
+
+@query(with_view(f"SELECT time, level, variable, y, x, value, {stored_sql(2)} AS pressure FROM cells WHERE variable = 'TEMP'"))
+def q21b_level_coordinate(spark, sf):
+    return b.cells(spark, sf).where("variable = 'TEMP'").withColumn(vertical.COORDINATE[2], vertical.stored_level(b.AXES[2], F.col("level")))
+
+
+@query(with_view("SELECT t, lev, y, x, 'temp' AS variable, temp AS value FROM w UNION ALL SELECT t, lev, y, x, 'hgts', hgts FROM w"))
+def q22_unpivot(spark, sf):
+    return fo.unpivot(b.wide(spark, sf).select("t", "lev", "y", "x", "temp", "hgts"), ["t", "lev", "y", "x"], ["temp", "hgts"])
+
+
+@query(with_view("SELECT DISTINCT time FROM cells ORDER BY time"))
+def q23_times(spark, sf):
+    return b.cells(spark, sf).select("time").distinct().orderBy("time")
+
+
+@query(with_view("SELECT DISTINCT variable FROM cells"))
+def q24_variable_names(spark, sf):
+    return b.cells(spark, sf).select("variable").distinct()
+
+
+# --- sampling ----------------------------------------------------------------------------------------------------------
+
+def _profiles(spark, sf, variables, kind="pressure", method="linear"):
+    plan = sampling.horizontal_plan(b.points(spark, sf, kind), b.GRID, method)
+    return sampling.profiles(plan, b.cells(spark, sf).where(F.col("variable").isin(variables)))
+
+
+@query(with_view("SELECT pid, level, value FROM prof WHERE variable = 'TEMP'", b.points_sql()))
+def q30_bilinear(spark, sf):
+    return _profiles(spark, sf, ["TEMP"]).select("pid", "level", "value")
+
+
+@query(with_view("SELECT f.pid, k.level, k.value FROM fx f JOIN cells k ON k.variable = 'TEMP' AND k.time = f.time AND k.x = round_even(fx, 0) AND k.y = round_even(fy, 0) WHERE fx BETWEEN 0 AND 19 AND fy BETWEEN 0 AND 19", b.points_sql()))
+def q31_nearest(spark, sf):
+    return _profiles(spark, sf, ["TEMP"], method="nearest").select("pid", "level", "value")
+
+
+@query(with_view("SELECT time, count(*) AS n, count(*) FILTER (fx BETWEEN 0 AND 19 AND fy BETWEEN 0 AND 19) AS n_inside, min(floor(fx)) FILTER (fx BETWEEN 0 AND 19 AND fy BETWEEN 0 AND 19)::INT AS x_start, max(floor(fy)) FILTER (fx BETWEEN 0 AND 19 AND fy BETWEEN 0 AND 19)::INT AS y_last FROM fx GROUP BY time", b.points_sql()))
+def q32_inside(spark, sf):
+    plan = sampling.horizontal_plan(b.points(spark, sf), b.GRID)
+    return plan.groupBy("time").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("inside"), 1)).alias("n_inside"), F.min(F.when(F.col("inside"), F.col("x0"))).alias("x_start"), F.max(F.when(F.col("inside"), F.col("y0"))).alias("y_last"))
+
+
+@query(with_view("SELECT min(x0)::INT AS x_start, (max(x1) + 1)::INT AS x_stop, min(y0)::INT AS y_start, (max(y1) + 1)::INT AS y_stop FROM plan", b.points_sql()))
+def q32b_bounding_window(spark, sf):
+    return sampling.bounding_window(sampling.horizontal_plan(b.points(spark, sf), b.GRID))
+
+
+def _interp(kind: str, coord: str, variables: str = "'TEMP'", pick: str = "TEMP", digits: int | None = None) -> str:
+    """SQL of a sample of one variable at `coord`, an expression over prof p and its point's columns ps, ts, hg, tk."""
+    aux = "aux AS (SELECT pid, max(value) FILTER (variable = 'PRSS') AS ps, max(value) FILTER (variable = 'SHGT') AS ts FROM prof GROUP BY pid), hg AS (SELECT pid, level, max(value) FILTER (variable = 'HGTS') AS hg, max(value) FILTER (variable = 'TEMP') AS tk FROM prof GROUP BY pid, level)"
+    rows = f"rows AS (SELECT p.pid, p.variable, p.level, ({coord})::DOUBLE AS coord, p.value FROM prof p JOIN aux USING (pid) JOIN hg ON hg.pid = p.pid AND hg.level = p.level WHERE p.variable IN ({variables}))"
+    value = f"round(v.value, {digits})" if digits else "v.value::FLOAT"
+    return with_view(f"SELECT p.pid, {value} AS {pick} FROM pts p LEFT JOIN val v ON v.pid = p.pid AND v.variable = '{pick}'", b.points_sql(kind), aux, rows, b.BRACKET_SQL)
+
+
+def _sampled(spark, sf, flag, kind, variables, digits=None):
+    out = sampling.sample_points(b.cells(spark, sf), b.points(spark, sf, kind), variables, b.GRID, b.AXES[flag], flag, kind)
+    return out.select("pid", *[F.round(F.col(v).cast("double"), digits).alias(v) if digits else F.col(v) for v in variables])
+
+
+@query(_interp("native", "p.level"))
+def q33_native(spark, sf):
+    return _sampled(spark, sf, 2, "native", ["TEMP"])
+
+
+@query(_interp("pressure", stored_sql(2, "p.level")))
+def q34_pressure_axis(spark, sf):
+    return _sampled(spark, sf, 2, "pressure", ["TEMP"])
+
+
+@query(_interp("pressure", f"ps * {stored_sql(1, 'p.level')}"))
+def q35_sigma_pressure(spark, sf):
+    return _sampled(spark, sf, 1, "pressure", ["TEMP"])
+
+
+@query(_interp("pressure", f"CASE WHEN p.level = 0 THEN ps ELSE floor({stored_sql(4, 'p.level')}) + ps * ({stored_sql(4, 'p.level')} - floor({stored_sql(4, 'p.level')})) END"))
+def q36_hybrid_pressure(spark, sf):
+    return _sampled(spark, sf, 4, "pressure", ["TEMP"])
+
+
+_HYPSO = """
+hp AS (SELECT t, lev, y, x, temp, prss, shgt, prss * CASE lev WHEN 0 THEN 1::DOUBLE WHEN 1 THEN 0.9::DOUBLE WHEN 2 THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS p FROM w),
+hs AS (SELECT *, CASE WHEN lev = 0 THEN temp * (287.05::DOUBLE / 9.80665::DOUBLE) * ln(prss / p) ELSE (lag(temp) OVER c + temp) / 2 * (287.05::DOUBLE / 9.80665::DOUBLE) * ln(lag(p) OVER c / p) END AS dz FROM hp WINDOW c AS (PARTITION BY t, y, x ORDER BY lev)),
+hz AS (SELECT *, sum(dz) OVER (PARTITION BY t, y, x ORDER BY lev) AS z FROM hs)"""
+
+
+@query(with_view("SELECT t, lev, y, x, round(z, 4) AS z_agl FROM hz", _HYPSO))
+def q37_hypsometric(spark, sf):
+    w = b.wide(spark, sf).withColumn("p", vertical.sigma_pressure(vertical.stored_level(b.AXES[1], F.col("lev")), F.col("prss")))
+    return vertical.hypsometric(w, ["t", "y", "x"], surface="prss", temperature="temp").select("t", "lev", "y", "x", F.round("z_agl", 4).alias("z_agl"))
+
+
+@query(with_view("SELECT t, lev, y, x, hgts - shgt AS z_agl, hgts AS z_msl FROM w"))
+def q38_dataset_heights(spark, sf):
+    """Heights above ground on a pressure axis; the dataset form does not stop at 0."""
+    w = b.wide(spark, sf)
+    return w.select("t", "lev", "y", "x", (F.col("hgts") - F.col("shgt")).alias("z_agl"), (F.col("hgts") - F.col("shgt") + F.col("shgt")).alias("z_msl"))
+
+
+@query(_interp("agl", "greatest(hg - ts, 0)"))
+def q39_agl_pressure_axis(spark, sf):
+    return _sampled(spark, sf, 2, "agl", ["TEMP"])
+
+
+@query(_interp("msl", "hg"))
+def q39b_msl_pressure_axis(spark, sf):
+    return _sampled(spark, sf, 2, "msl", ["TEMP"])
+
+
+@query(_interp("agl", stored_sql(3, "p.level")))
+def q40_terrain_agl(spark, sf):
+    return _sampled(spark, sf, 3, "agl", ["TEMP"])
+
+
+@query(_interp("msl", f"{stored_sql(3, 'p.level')} + ts"))
+def q40b_terrain_msl(spark, sf):
+    return _sampled(spark, sf, 3, "msl", ["TEMP"])
+
+
+def _virtual_pressure_sql() -> str:
+    aux = "aux AS (SELECT pid, max(value) FILTER (variable = 'SHGT') AS ts FROM prof GROUP BY pid)"
+    rows = f"rows AS (SELECT p.pid, 'pressure' AS variable, p.level, greatest(p.value - ts, 0)::DOUBLE AS coord, {stored_sql(2, 'p.level')} AS value FROM prof p JOIN aux USING (pid) WHERE p.variable = 'HGTS')"
+    return with_view("SELECT p.pid, v.value::FLOAT AS pressure FROM pts p LEFT JOIN val v ON v.pid = p.pid", b.points_sql("agl"), aux, rows, b.BRACKET_SQL)
+
+
+@query(_virtual_pressure_sql())
+def q41_virtual_pressure(spark, sf):
+    return _sampled(spark, sf, 2, "agl", ["pressure"])
+
+
+@query(with_view("SELECT p.pid, max(value) FILTER (variable = 'PRSS')::FLOAT AS PRSS, max(value) FILTER (variable = 'SHGT')::FLOAT AS SHGT FROM pts p LEFT JOIN prof USING (pid) GROUP BY p.pid", b.points_sql()))
+def q42_surface_bypass(spark, sf):
+    return _sampled(spark, sf, 2, "pressure", ["PRSS", "SHGT"])
+
+
+# --- files, times, names -------------------------------------------------------------------------------------------------
+
+def _file_times(spark, sf):
+    """Orders as files with a time each: (path, time)."""
+    return b.table(spark, sf, "orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 97).cast("string")).alias("path"), F.col("o_orderdate").cast("timestamp_ntz").alias("time"))
+
+
+_FILES = "ft AS (SELECT 'f' || (o_custkey % 97) AS path, o_orderdate::TIMESTAMP AS time FROM orders)"
+
+
+@query(f"WITH {_FILES} SELECT time FROM ft GROUP BY time HAVING count(DISTINCT path) > 1")
+def q50_duplicate_times(spark, sf):
+    return sampling.duplicate_times(_file_times(spark, sf))
+
+
+@query("SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP + INTERVAL (event_id % 7) HOUR AS time FROM events WHERE date_trunc('day', ts)::TIMESTAMP + INTERVAL (event_id % 7) HOUR NOT IN (SELECT TIMESTAMP '2024-01-01' + INTERVAL (12 * i) HOUR FROM range(0, 62) r(i))")
+def q51_missing_times(spark, sf):
+    wanted = b.table(spark, sf, "events").select((F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_interval(hours=F.col("event_id") % 7)).alias("time"))
+    have = spark.range(62).select((F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=(F.col("id") * 12).cast("int"))).alias("time"))
+    return sampling.missing_times(wanted, have)
+
+
+@query(f"WITH {_FILES}, p AS (SELECT path, min(time) AS first_time FROM ft GROUP BY path) SELECT path, first_time, row_number() OVER (ORDER BY first_time, path)::INT AS place FROM p")
+def q52_concat_order(spark, sf):
+    per = _file_times(spark, sf).groupBy("path").agg(F.min("time").alias("first_time"))
+    # one row a file: the ranking is over the file list, not over records
+    return per.withColumn("place", F.row_number().over(Window.orderBy("first_time", "path")))
+
+
+@query("SELECT time_bucket(INTERVAL 12 HOUR, ts) AS bin, count(*) AS n, min(ts) AS first_time FROM events GROUP BY bin")
+def q53_time_bins(spark, sf):
+    e = b.table(spark, sf, "events")
+    return e.groupBy(F.window("ts", "12 hours").start.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_time"))
+
+
+@query("SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS bin, count(*) AS n FROM orders GROUP BY bin")
+def q53b_day_bins(spark, sf):
+    o = b.table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("t"))
+    return o.groupBy(F.window("t", "1 day").start.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_FILES} SELECT path, min(time) AS first_time FROM ft GROUP BY path HAVING min(time) BETWEEN TIMESTAMP '1995-01-02' AND TIMESTAMP '1995-01-20'")
+def q54_time_range(spark, sf):
+    per = _file_times(spark, sf).groupBy("path").agg(F.min("time").alias("first_time"))
+    return per.where(F.col("first_time").between(*[F.lit(t).cast("timestamp_ntz") for t in ("1995-01-02", "1995-01-20")]))
+
+
+@query("SELECT l_orderkey % 500 AS k, coalesce(max(CASE WHEN l_quantity = 50 THEN l_linenumber END), min(CASE WHEN l_linenumber - 4 >= 0 THEN l_linenumber - 4 END), -1)::INT AS forecast FROM lineitem GROUP BY 1")
+def q55_index_forecast(spark, sf):
+    l = b.table(spark, sf, "lineitem")
+    return l.groupBy((F.col("l_orderkey") % 500).alias("k")).agg(scalars.index_forecast(F.when(F.col("l_quantity") == 50, F.col("l_linenumber")), F.col("l_linenumber") - 4).cast("int").alias("forecast"))
+
+
+_HOURS = "hrs AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-30 05:00', TIMESTAMP '2024-02-09 13:00', INTERVAL 1 HOUR)) AS t)"
+
+
+@query(f"WITH {_HOURS} SELECT 'hrrr/' || strftime(t, '%Y/%m/%Y%m%d_') || lpad((hour(t) // 6 * 6)::VARCHAR, 2, '0') || '-' || lpad((hour(t) // 6 * 6 + 5)::VARCHAR, 2, '0') || '_hrrr' AS key, min(t) AS first_time FROM hrs GROUP BY key")
+def q56_archive_keys(spark, sf):
+    return archive.keys_for_range(spark, "hrrr", "2024-02-09 13:40", "2024-01-30 05:10")
+
+
+_EVENT_KEYS = """
+SELECT 'gdas' AS product, 'gdas1/' || year(ts) || '/gdas1.' || lower(strftime(ts, '%b')) || strftime(ts, '%y') || '.w' || ((day(ts) - 1) // 7 + 1) AS key, min(ts) AS first_time FROM events GROUP BY key
+UNION ALL SELECT 'nam', 'nam12/' || strftime(ts, '%Y/%m/%Y%m%d') || '_nam12', min(ts) FROM events GROUP BY 2
+UNION ALL SELECT 'gfs', 'gfs0p25/' || strftime(ts, '%Y/%m/%Y%m%d') || '_gfs0p25', min(ts) FROM events GROUP BY 2
+UNION ALL SELECT 'nams_conus', 'nams/' || strftime(ts, '%Y/%m/%Y%m%d') || '_hysplit.t00z.namsa', min(ts) FROM events GROUP BY 2
+UNION ALL SELECT 'nams_ak', 'nams/' || strftime(ts, '%Y/%m/%Y%m%d') || '_hysplit.t00z.namsa.AK', min(ts) FROM events GROUP BY 2
+UNION ALL SELECT 'nams_hi', 'nams/' || strftime(ts, '%Y/%m/%Y%m%d') || '_hysplit.t00z.namsa.HI', min(ts) FROM events GROUP BY 2
+UNION ALL SELECT 'reanalysis', 'reanalysis/' || year(ts) || '/RP' || strftime(ts, '%Y%m') || '.gbl', min(ts) FROM events GROUP BY 2
+UNION ALL SELECT 'hrrr_v1', 'hrrr.v1/' || strftime(ts, '%Y/%m/') || 'hysplit.' || strftime(ts, '%Y%m%d.%H') || 'z.hrrra', min(ts) FROM events GROUP BY 2
+UNION ALL SELECT 'gdas0p5', 'gdas0p5/' || strftime(ts, '%Y/%m/%Y%m%d') || '_gdas0p5', min(ts) FROM events GROUP BY 2
+UNION ALL SELECT 'narr', 'narr/' || year(ts) || '/NARR' || strftime(ts, '%Y%m'), min(ts) FROM events GROUP BY 2"""
+
+
+@query(_EVENT_KEYS)
+def q57_product_keys(spark, sf):
+    """Keys of all products for the events' times, in one scan: each row has its ten keys exploded before one aggregation."""
+    names = ["gdas", "nam", "gfs", "nams_conus", "nams_ak", "nams_hi", "reanalysis", "hrrr_v1", "gdas0p5", "narr"]
+    pairs = F.array(*[F.struct(F.lit(n).alias("product"), archive.product(n).key(F.col("ts")).alias("key")) for n in names])
+    return b.table(spark, sf, "events").select("ts", F.explode(pairs).alias("k")).groupBy("k.product", "k.key").agg(F.min("ts").alias("first_time"))
+
+
+@query("SELECT DISTINCT 's3://noaa-oar-arl-hysplit-pds/reanalysis/' || year(o_orderdate) || '/RP' || strftime(o_orderdate, '%Y%m') || '.gbl' AS url FROM orders")
+def q57b_archive_urls(spark, sf):
+    t = b.table(spark, sf, "orders").select(F.col("o_orderdate").alias("t"))
+    return archive.keys_of(t, "reanalysis").select(archive.url_of(F.col("key"), "s3").alias("url"))
+
+
+@query("SELECT 'f' || (s_suppkey % 13) AS path, count(DISTINCT (s_nationkey % 3, s_nationkey % 2))::BIGINT AS grids, count(DISTINCT (s_nationkey % 3, s_nationkey % 2)) = 1 AS consistent FROM supplier GROUP BY 1")
+def q58_consistency(spark, sf):
+    s = b.table(spark, sf, "supplier").select(F.concat(F.lit("f"), (F.col("s_suppkey") % 13).cast("string")).alias("path"), F.struct((F.col("s_nationkey") % 3).alias("a"), (F.col("s_nationkey") % 2).alias("b")).alias("grid"))
+    return s.groupBy("path").agg(F.countDistinct("grid").alias("grids")).withColumn("consistent", F.col("grids") == 1)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 3 = 0 AS is_diff, coalesce(last_value(CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING), -1)::INT AS parent FROM lineitem")
+def q59_difference_parents(spark, sf):
+    is_diff = F.col("l_linenumber") % 3 == 0
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
+    return b.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", is_diff.alias("is_diff"), F.coalesce(F.last(F.when(~is_diff, F.col("l_linenumber")), ignorenulls=True).over(w), F.lit(-1)).alias("parent"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 40 THEN 2000 + p_size ELSE 1900 + p_size END::INT AS year, ((p_partkey % 26) + 1)::BIGINT * 1000 AS thousands, chr((65 + p_partkey % 26)::INT) AS letter, p_partkey // 1000 * 1000 AS high, p_partkey % 1000 AS low, 50 + p_partkey * p_size AS record_length FROM part")
+def q60_header_scalars(spark, sf):
+    p = b.table(spark, sf, "part")
+    letter = F.char((65 + F.col("p_partkey") % 26).cast("int"))
+    return p.select(
+        "p_partkey", scalars.restore_year(F.col("p_size")).alias("year"), scalars.letter_to_thousands(letter).cast("long").alias("thousands"), scalars.thousands_to_letter((F.col("p_partkey") % 26 + 1) * 1000).alias("letter"), scalars.grid_thousands(F.col("p_partkey")).alias("high"), scalars.grid_rest(F.col("p_partkey")).alias("low"), scalars.record_length(F.col("p_partkey"), F.col("p_size")).alias("record_length")
+    )
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 40 THEN make_timestamp(2000 + p_size, 1 + p_partkey % 12, 1 + p_partkey % 28, p_partkey % 24, p_partkey % 60, 0) ELSE make_timestamp(1900 + p_size, 1 + p_partkey % 12, 1 + p_partkey % 28, p_partkey % 24, p_partkey % 60, 0) END AS time FROM part")
+def q60b_header_time(spark, sf):
+    k = F.col("p_partkey")
+    as_int = lambda c: c.cast("int")
+    return b.table(spark, sf, "part").select("p_partkey", scalars.header_time(F.col("p_size"), as_int(1 + k % 12), as_int(1 + k % 28), as_int(k % 24), as_int(k % 60)).alias("time"))
+
+
+@query("""WITH c AS (SELECT sin(radians(38.5::DOUBLE)) AS n), k AS (SELECT n, 6371.2::DOUBLE * cos(radians(38.5::DOUBLE)) * pow(tan(pi() / 4 + radians(38.5::DOUBLE) / 2), n) / n AS rf FROM c),
+o AS (SELECT n, rf, rf / pow(tan(pi() / 4 + radians(38.5::DOUBLE) / 2), n) AS r0, rf / pow(tan(pi() / 4 + radians(30::DOUBLE) / 2), n) AS rs FROM k),
+p AS (SELECT event_id AS pid, -130 + (user_id % 300) / 5::DOUBLE AS lon, 25 + (event_id % 200) / 8::DOUBLE AS lat FROM events),
+q AS (SELECT pid, rf / pow(tan(pi() / 4 + radians(lat) / 2), n) AS r, radians(lon + 97.5::DOUBLE) * n AS th, rs, radians(-125 + 97.5::DOUBLE) * n AS ts FROM p, o)
+SELECT pid, round((r * sin(th) - rs * sin(ts)) / 3, 6) AS x, round((rs * cos(ts) - r * cos(th)) / 3, 6) AS y FROM q""")
+def q61_lambert_indices(spark, sf):
+    p = b.table(spark, sf, "events").select(F.col("event_id").alias("pid"), (-130 + (F.col("user_id") % 300) / 5.0).alias("lon"), (25 + (F.col("event_id") % 200) / 8.0).alias("lat"))
+    x, y = b.LAMBERT.fractional_indices(F.col("lon"), F.col("lat"))
+    return p.select("pid", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+def _axis_sql() -> str:
+    """Pressures of all axes in one pass: null on the terrain-following one."""
+    parts = []
+    for flag in b.AXES:
+        s = stored_sql(flag, "lev")
+        p = {1: f"prss * {s}", 2: s, 3: "NULL", 4: f"CASE WHEN lev = 0 THEN prss ELSE floor({s}) + prss * ({s} - floor({s})) END"}[flag]
+        parts.append(f"SELECT {flag} AS flag, t, lev, y, x, ({p})::DOUBLE AS p FROM w")
+    return with_view(" UNION ALL ".join(parts))
+
+
+@query(_axis_sql())
+def q62_axis_dispatch(spark, sf):
+    w = b.wide(spark, sf).select("t", "lev", "y", "x", "prss", F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), vertical.stored_level(h, F.col("lev")).alias("stored")) for f, h in b.AXES.items()])).alias("a"))
+    return w.select("a.flag", "t", "lev", "y", "x", vertical.level_pressure(F.col("a.flag"), F.col("a.stored"), F.col("lev"), F.col("prss")).alias("p"))
+
+
+@query("SELECT p_partkey, p_retailprice, CASE WHEN p_retailprice = 0 THEN ' 0.0000000E+00' ELSE lpad(printf('%.7f', p_retailprice / pow(10::DOUBLE, floor(log10(p_retailprice)) + 1)), 10, ' ') || 'E+' || lpad((floor(log10(p_retailprice)) + 1)::INT::VARCHAR, 2, '0') END AS text FROM part")
+def q63_scientific_text(spark, sf):
+    return b.table(spark, sf, "part").select("p_partkey", "p_retailprice", scalars.scientific(F.col("p_retailprice")).alias("text"))
+
+
+def binary_round_trip(spark, sf):
+    """Write the view to packed files, one a time, read them back and decode: cells within the packing precision. No SQL form."""
+    import os
+    import tempfile
+
+    from gridloom.operators import files
+    from gridloom.sources import packed
+
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if "://" in shared:
+        raise ValueError("packed files are written to a mounted shared folder")
+    folder = tempfile.mkdtemp(prefix="packed-", dir=shared or None) if not shared or os.path.isdir(shared) else os.path.join(shared, "packed")
+    cells = b.cells(spark, sf)
+    order = F.when(F.col("variable") == "TEMP", 0).when(F.col("variable") == "HGTS", 1).when(F.col("variable") == "PRSS", 2).otherwise(3)
+    rows = cells.select(F.col("time").alias("year"), "level", "variable", "y", "x", "value")
+    fields = fo.field_bytes(rows, b.NX, ["year", "level", "variable"])
+    fields = fields.select(F.concat(F.lit("view_"), F.col("year").cast("string")).alias("file"), F.make_timestamp_ntz(F.col("year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("time"), "level", order.alias("seq"), "variable", F.lit(0).alias("forecast"), "data", F.when(F.col("variable") == "TEMP", F.lit("DIFT")).alias("diff_variable"))
+    packed.write_packed(fields, folder, b.GRID, b.AXES[2], 2, "VIEW")
+    return files.open_cells(spark, folder).select("time", "level", "variable", "y", "x", "value")
+
+
+QUERIES["q70_packed_file_round_trip"] = binary_round_trip
