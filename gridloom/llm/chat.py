@@ -123,50 +123,49 @@ def format_chat(rows: DataFrame, path: str, **columns) -> DataFrame:
 def chat_digests(rows: DataFrame, path: str, **columns) -> DataFrame:
     """Per conversation, read back from the assembled pieces and ids: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, loss_tokens.
 
-    Turns are read back in parallel; only then are a conversation's turns brought together, in order, and streamed through
-    its digests, one row at a time. A SHA-256 of a whole conversation can be taken in no other way.
+    Turns are encoded and read back where they are; only then are a conversation's turns brought together, in one shuffle of
+    their texts, and streamed in order through its prefix sums and digests, one row at a time. A SHA-256 of a whole
+    conversation can be taken in no other way.
     """
-    made = format_chat(rows, path, **columns).drop("text")
-    id_type = made.schema["conv_id"].dataType.simpleString()
+    made = encode_turns(rows, path, **columns).drop("role", "text")
+    id_type, turn_type = (made.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
+    cut = re.compile(re.escape(MARKS[2]) + "(.*?)" + re.escape(MARKS[3]) + "(.*?)" + re.escape(MARKS[1]), re.DOTALL)
+    sent = ["role", "text", "loss", "chars", "tokens", "masked"]
 
     def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        cut = re.compile(re.escape(MARKS[2]) + "(.*?)" + re.escape(MARKS[3]) + "(.*?)" + re.escape(MARKS[1]), re.DOTALL)
         for part in slices(batches, "piece"):
-            roles, texts, losses = [], [], []
-            for piece, ids, start, a, b in zip(*(part.column(x).to_pylist() for x in ("piece", "ids", "token_from", "loss_from", "loss_to")), strict=True):
-                role, text = cut.fullmatch(piece).groups()
-                roles.append(unescape(role))
-                texts.append(unescape(text))
-                losses.append(unescape(c.decode(ids[a - start : b - start])))
-            sizes = pa.array([len(p) for p in part.column("piece").to_pylist()], pa.int64())
-            names = ["conv_id", "turn", "role", "text", "loss", "chars", "tokens", "masked"]
-            n = [len(i) for i in part.column("ids").to_pylist()]
-            masked = [b - a for a, b in zip(part.column("loss_from").to_pylist(), part.column("loss_to").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turn"), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(losses, pa.string()), sizes, pa.array(n, pa.int64()), pa.array(masked, pa.int64())], names=names)
-
-    turn_type = made.schema["turn"].dataType.simpleString()
+            out: list[tuple] = []
+            for piece, ids, a, b in zip(*(part.column(x).to_pylist() for x in ("piece", "ids", "mask_from", "mask_to")), strict=True):
+                role, text = map(unescape, cut.fullmatch(piece).groups())
+                loss = unescape(c.decode(ids[a:b]))
+                # null: the text under the mask is the turn's text
+                out.append((role, text, None if loss == text else loss, len(piece), len(ids), b - a))
+            types = [pa.string()] * 3 + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turn"), *(pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True))], names=["conv_id", "turn", *sent])
+
     back = made.mapInArrow(read_back, f"conv_id {id_type}, turn {turn_type}, role string, text string, loss string, chars long, tokens long, masked long")
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
-        types = None
-        now, started, held = None, False, []
+        id_arrow, now, state, held = None, None, None, []
 
-        def row():
-            return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5], state[6])
+        def batch() -> pa.RecordBatch:
+            types = [id_arrow] + [pa.string() if n.endswith("sha256") else pa.int64() for n in names]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held, strict=True), types, strict=True)], names=["conv_id", *names])
 
-        def batch():
-            cols = list(zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        def row() -> tuple:
+            n, turns, loss_chars, loss, chars, tokens, masked = state
+            return now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, tokens, masked
 
         for part in batches:
-            types = [part.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            for conv, role, text, loss, chars, tokens, masked in zip(*(part.column(x).to_pylist() for x in ("conv_id", "role", "text", "loss", "chars", "tokens", "masked")), strict=True):
-                if not started or conv != now:
-                    if started:
+            id_arrow = part.schema.field("conv_id").type
+            for conv, role, text, loss, chars, tokens, masked in zip(*(part.column(x).to_pylist() for x in ("conv_id", *sent)), strict=True):
+                if state is None or conv != now:
+                    if state is not None:
                         held.append(row())
-                    now, started, state = conv, True, [0, hashlib.sha256(), 0, hashlib.sha256(), len(MARKS[0]), 1, 0]
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), len(MARKS[0]), 1, 0]
+                loss = text if loss is None else loss
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(loss)
@@ -177,9 +176,11 @@ def chat_digests(rows: DataFrame, path: str, **columns) -> DataFrame:
             if len(held) > 2000:
                 yield batch()
                 held = []
-        if started:
+        if state is not None:
             held.append(row())
+        if held:
             yield batch()
 
     ordered = back.repartition("conv_id").sortWithinPartitions("conv_id", *_ordered())
-    return ordered.mapInArrow(digest, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")
+    longs = ", ".join(f"{n} {'string' if n.endswith('sha256') else 'long'}" for n in names)
+    return ordered.mapInArrow(digest, f"conv_id {id_type}, {longs}")
