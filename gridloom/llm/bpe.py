@@ -5,8 +5,8 @@ there (matches of an Aho-Corasick automaton over the vocabulary) as the longest
 token of the prefix before it; compatible means that merging their texts together would give back just these two tokens.
 Back-pointers from the whole word then spell the ids. Time is linear in the word's length for any vocabulary.
 
-The vocabulary file is that of a word-end BPE tokenizer (see `Vocabulary`); its path is a parameter. Word encodings are
-kept in a cache of bounded size on each worker, which changes no result.
+The vocabulary file is that of a word-end BPE tokenizer (see `Vocabulary`); its path is a parameter. Word encodings and
+pair tests are kept in caches of bounded size on each worker, which changes no result.
 
 Cases: null text counts as empty (no tokens). Texts of any length are encoded whole. Equal rows get equal results, and
 an empty table gives an empty result.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import slices, without
 
 CACHE_WORDS = 200_000
+CACHE_PAIRS = 500_000
 #: The pre-tokenizer pattern, special tokens and word-end mark of the tokenizer file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -116,7 +117,7 @@ class Vocabulary:
 
     def _fit(self, a: str, b: str) -> bool:
         if (known := self.fits.get((a, b))) is None:
-            if len(self.fits) >= 2_000_000:
+            if len(self.fits) >= CACHE_PAIRS:
                 self.fits.clear()
             known = self.fits[(a, b)] = self.compatible(a, b)
         return known

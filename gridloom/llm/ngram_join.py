@@ -367,7 +367,10 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = materialize(best.select("label", F.col("best.doc_id").alias("keep"), F.col("best.fp").alias("keep_fp"), F.lit(True).alias("joined")), "classes")
     joined = F.coalesce("joined", F.lit(False))
     result = info.join(best, "label", "left").select("fp", F.when(joined, F.col("keep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(joined, F.col("keep_fp")).otherwise(F.col("fp")).alias("keep_fp"), "links")
-    return sketches.select("doc_id", "n", "fp"), materialize(result, "near-classes")
+    result = materialize(result, "near-classes")
+    for t in (nodes, shared, members, links, info, best, label, *([group, balls, inside, held] if grouped else [])):
+        discard(t)
+    return sketches.select("doc_id", "n", "fp"), result
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -415,3 +415,13 @@ def test_pipeline_stages_match_brute_force(spark):
     clean = [i for i in steps["ngram_jaccard_join"] if not any(f" {w} " in f" {' '.join(words(texts[i]))} " for w in wins)]
     assert steps["benchmark_decontamination"] == clean
     assert corpus_pipeline.encode(spark, now, sf).count() == len(clean)
+
+
+def test_pii_finds_addresses_with_letters_of_any_script():
+    new, kinds = pii.pseudonymise("vi êpeña.58@mail7.example.com## la", pii.Permuter(b"k"))
+    assert kinds == ["email"] and "58@" not in new and new.endswith("@mail7.example.com## la") and new.startswith("vi ê")
+
+
+def test_url_model_learns_its_table(spark):
+    rows = url_filter.url_verdicts(url_filter.labelled_urls(spark).withColumn("page_id", F.col("label")), rules=[]).collect()
+    assert sum((r.verdict == "block") == (r.page_id == 1) for r in rows) / len(rows) > 0.95
