@@ -1 +1 @@
-
+"""Operators on frames and files."""

@@ -63,29 +63,37 @@ def corners(plan: DataFrame, keep: list[str]) -> DataFrame:
     return plan.where("inside").select(*keep, F.explode(four).alias("c")).select(*keep, "c.x", "c.y", "c.w").where("w <> 0")
 
 
-def profiles(plan: DataFrame, cells: DataFrame, key: str = "pid", time: str = "time", level: str = "level") -> DataFrame:
-    """(key, variable, level, value) of every point at every level of every variable of its time."""
-    met = corners(plan, [key, time]).join(cells.select(time, level, "variable", "y", "x", "value"), [time, "y", "x"])
+def profiles(plan: DataFrame, cells: DataFrame, key: str = "pid", time: str = "time", level: str = "level", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, variable, level, value) of every point at every level of every variable of its time; `keep` goes along from the point."""
+    met = corners(plan, [key, time, *keep]).join(cells.select(time, level, "variable", "y", "x", "value"), [time, "y", "x"])
     weight = F.sum(F.col("w") * F.col("value").cast("double"))
     # a missing corner leaves the whole sample missing
-    return met.groupBy(key, "variable", level).agg(F.when(F.count("value") == F.count("w"), weight).alias("value"))
+    return met.groupBy(key, *keep, "variable", level).agg(F.when(F.count("value") == F.count("w"), weight).alias("value"))
 
 
-def bracket(rows: DataFrame, by: list[str], coord: str = "coord", z: str = "z", value: str = "value", level: str = "level") -> DataFrame:
-    """Linear interpolation of (coord, value) profiles at z: closed at both ends, at least two levels, null outside."""
-    c, v = F.col(coord), F.col(value)
+def bracket(rows: DataFrame, by: list[str], coord: str = "coord", z: str = "z", value: str = "value", level: str = "level", level_free: Column | None = None) -> DataFrame:
+    """Linear interpolation of (coord, value) profiles at z: closed at both ends, at least two levels, null outside.
+
+    Profiles for which level_free holds, or that have one level only, give the value of their lowest level instead. One
+    aggregation does both.
+    """
+    c, v, lv = F.col(coord), F.col(value), F.col(level)
     ok = c.isNotNull() & v.isNotNull() & ~F.isnan(c) & ~F.isnan(v)
     below, above = ok & (c <= F.col(z)), ok & (c >= F.col(z))
-    lv = F.col(level)
     got = rows.groupBy(*by).agg(
         F.max(F.when(below, F.struct(c.alias("c"), (-lv).alias("l"), v.alias("v")))).alias("lo"),
         F.min(F.when(above, F.struct(c.alias("c"), lv.alias("l"), v.alias("v")))).alias("hi"),
         F.count(F.when(ok, 1)).alias("n"),
         F.max(z).alias(z),
+        F.min(F.struct(lv.alias("l"), v.alias("v"))).alias("low"),
+        F.count(F.lit(1)).alias("levels"),
     )
     span = F.col("hi.c") - F.col("lo.c")
     out = F.when(span == 0, F.col("lo.v")).otherwise(F.col("lo.v") + (F.col(z) - F.col("lo.c")) / F.nullif(span, F.lit(0.0)) * (F.col("hi.v") - F.col("lo.v")))
-    return got.select(*by, F.when((F.col("n") >= 2) & F.col("lo").isNotNull() & F.col("hi").isNotNull(), out).alias(value))
+    out = F.when((F.col("n") >= 2) & F.col("lo").isNotNull() & F.col("hi").isNotNull(), out)
+    if level_free is not None:
+        out = F.when(level_free | (F.col("levels") == 1), F.col("low.v")).otherwise(out)
+    return got.select(*by, out.alias(value))
 
 
 def needs(flag: int, kind: str, pressure: bool) -> list[str]:
@@ -156,15 +164,11 @@ def sample_points(cells: DataFrame, points: DataFrame, variables: list[str], gri
     asked = cells.where(F.col("variable").isin(sorted({*real, *extra})))
     if "HGTS" in extra and not wants_pressure and not real:
         asked = cells.where(F.col("variable").isin(extra))
-    prof = profiles(plan, asked, key)
+    prof = profiles(plan, asked, key, keep=("z",))
     if wants_pressure and z_kind != "pressure":
         prof = prof.unionByName(_pressure_profiles(prof, heights, flag, offset, key))
     rows = level_coordinates(prof, heights, flag, z_kind, offset, key)
-    flat = F.max(F.col("level")).over(Window.partitionBy(key, "variable")) == F.min("level").over(Window.partitionBy(key, "variable"))
-    rows = rows.withColumn("_flat", F.col("variable").isin(*SURFACE) | flat).join(points.select(key, "z"), key)
-    level_free = rows.where("_flat").groupBy(key, "variable").agg(F.min_by("value", "level").alias("value"))
-    bent = bracket(rows.where(~F.col("_flat")), [key, "variable"])
-    found = level_free.unionByName(bent)
+    found = bracket(rows, [key, "variable"], level_free=F.col("variable").isin(*SURFACE))
     wide = found.groupBy(key).agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).cast("float").alias(v) for v in variables if not (v == "pressure" and z_kind == "pressure")])
     out = points.join(wide, key, "left")
     if wants_pressure and z_kind == "pressure":
@@ -174,10 +178,10 @@ def sample_points(cells: DataFrame, points: DataFrame, variables: list[str], gri
 
 def _pressure_profiles(prof: DataFrame, heights: list[float], flag: int, offset: float, key: str) -> DataFrame:
     """Synthetic profile rows of the pressure at every level of the axis."""
-    surface = prof.groupBy(key).agg(F.min_by(F.when(F.col("variable") == "PRSS", F.col("value")), F.when(F.col("variable") == "PRSS", F.col("level"))).alias("_s"))
-    levels = surface.select(key, "_s", F.posexplode(F.array(*[F.lit(float(h)) for h in heights])).alias("level", "stored"))
+    surface = prof.groupBy(key, "z").agg(F.min_by(F.when(F.col("variable") == "PRSS", F.col("value")), F.when(F.col("variable") == "PRSS", F.col("level"))).alias("_s"))
+    levels = surface.select(key, "z", "_s", F.posexplode(F.array(*[F.lit(float(h)) for h in heights])).alias("level", "stored"))
     p = vertical.level_pressure(F.lit(flag), F.col("stored"), F.col("level"), F.col("_s"), offset)
-    return levels.select(key, F.lit("pressure").alias("variable"), "level", p.alias("value"))
+    return levels.select(key, "z", F.lit("pressure").alias("variable"), "level", p.alias("value"))
 
 
 def duplicate_times(times: DataFrame) -> DataFrame:

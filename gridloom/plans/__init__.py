@@ -1 +1 @@
-
+"""The gridded view and the query catalogue."""

@@ -1 +1 @@
-
+"""Sources, sinks and archive names."""
