@@ -38,7 +38,7 @@ SHINGLE = 5
 THRESHOLD = (4, 5)  # as a fraction
 HASHES, BAND = 128, 4
 STEP = 16
-TOLERANCE = 1e-6
+TOLERANCE = 1e-12  # a pair at exactly the threshold is then dropped with probability 1e-11
 LARGE = 32  # nodes that share a bucket of more members than this are a group
 BLOCK = 512  # members of a group that one side of a task holds, on average
 CENTRE_SAMPLE = 64

@@ -425,3 +425,17 @@ def test_pii_finds_addresses_with_letters_of_any_script():
 def test_url_model_learns_its_table(spark):
     rows = url_filter.url_verdicts(url_filter.labelled_urls(spark).withColumn("page_id", F.col("label")), rules=[]).collect()
     assert sum((r.verdict == "block") == (r.page_id == 1) for r in rows) / len(rows) > 0.95
+
+
+def test_pruning_hardly_ever_loses_a_pair_at_the_threshold():
+    from math import comb
+
+    least, t, live, lost = ngram_join.least_matches(), 0.8, {0: 1.0}, 0.0
+    for n in range(ngram_join.STEP, ngram_join.HASHES + 1, ngram_join.STEP):
+        new = {}
+        for m, p in live.items():
+            for k in range(ngram_join.STEP + 1):
+                new[m + k] = new.get(m + k, 0) + p * comb(ngram_join.STEP, k) * t**k * (1 - t) ** (ngram_join.STEP - k)
+        lost += sum(p for m, p in new.items() if m < least[n])
+        live = {m: p for m, p in new.items() if m >= least[n]}
+    assert lost < 1e-10
