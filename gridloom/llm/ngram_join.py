@@ -29,7 +29,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, as_bytes, discard, materialize, mix64, slices
@@ -41,6 +41,7 @@ STEP = 16
 TOLERANCE = 1e-12  # a pair at exactly the threshold is then dropped with probability 1e-11
 LARGE = 32  # nodes that share a bucket of more members than this are a group
 BLOCK = 512  # members of a group that one side of a task holds, on average
+BLOCK_SHINGLES = 1 << 22  # and their shingles (32 MB), so that very long texts make smaller blocks
 CENTRE_SAMPLE = 64
 FILTER_BITS = 1 << 27
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -193,9 +194,10 @@ def _compared(rows: DataFrame, keep: list[str], numerator: int, denominator: int
 
 
 def _balls(group: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node) of a group (node, comp) that lie within half the allowed distance of their group's centre."""
-    nth = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("node"), "node"))
-    some = group.withColumn("nth", nth).filter(F.col("nth") <= CENTRE_SAMPLE).select("node", "comp")
+    """(node) of a group (node, comp, n) that lie within half the allowed distance of their group's centre."""
+    order = Window.partitionBy("comp").orderBy(F.xxhash64("node"), "node")
+    some = group.withColumns({"nth": F.row_number().over(order), "held": F.sum("n").over(order)})
+    some = some.filter((F.col("nth") == 1) | ((F.col("nth") <= CENTRE_SAMPLE) & (F.col("held") <= BLOCK_SHINGLES))).select("node", "comp")
 
     def centre(pdf: pd.DataFrame) -> pd.DataFrame:
         values, n = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in pdf["set"]]), return_counts=True)
@@ -245,7 +247,11 @@ def linked_in_block(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
 def _group_links(group: DataFrame, sets: DataFrame, balls: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, c, label): partial sums of the weights a node is linked to within its group, outside its ball, and another node of its component."""
     placed = group.join(balls.withColumn("inner", F.lit(True)), "node", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
-    sizes = placed.groupBy("comp").agg(F.ceil(F.sum((~F.col("inner")).cast("long")) / BLOCK).alias("outs"), F.ceil(F.sum(F.col("inner").cast("long")) / BLOCK).alias("inns"))
+
+    def blocks(inner: Column) -> Column:
+        return F.greatest(F.ceil(F.sum(inner.cast("long")) / BLOCK), F.ceil(F.sum(inner.cast("long") * F.col("n")) / BLOCK_SHINGLES))
+
+    sizes = placed.groupBy("comp").agg(blocks(~F.col("inner")).alias("outs"), blocks(F.col("inner")).alias("inns"))
     placed = placed.join(sizes.filter("outs > 0"), "comp")
     # blocks of outer members are numbered from 0, those of the ball from `outs` on; a task is a pair of blocks p <= q with p outer
     mine = F.when(F.col("inner"), F.col("outs") + F.pmod(F.xxhash64("node"), F.greatest("inns", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("outs")))
@@ -321,7 +327,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Documents (doc_id, n, fp), and nodes (fp, class_id, keep_fp, links)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = materialize(_sketched(docs, "doc_id", "text"), "sketches")
-    nodes = sketches.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"), F.first("sig").alias("sig"))
+    nodes = sketches.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * BAND + 1, BAND)))
@@ -331,12 +337,12 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     large = members.filter(F.col("n") > LARGE)
     grouped = not large.isEmpty()
     if grouped:
-        group = materialize(components(large.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()).withColumnRenamed("label", "comp"), "groups")
+        group = materialize(components(large.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()).withColumnRenamed("label", "comp").join(nodes.select("node", "n"), "node"), "groups")
         sets = materialize(_sets_of(docs, "text", nodes.join(group, "node").select("node", "fp")), "group-sets")
         balls = _balls(group, sets)
         inside = _group_links(group, sets, balls, nodes)
         discard(sets)
-        placed = members.filter(F.col("n") <= LARGE).join(group, "node", "left")
+        placed = members.filter(F.col("n") <= LARGE).join(group.select("node", "comp"), "node", "left")
     else:
         placed = members.withColumn("comp", F.lit(None).cast("long"))
     apart = F.col("l.comp").isNull() | F.col("r.comp").isNull() | (F.col("l.comp") != F.col("r.comp"))

@@ -91,10 +91,11 @@ def test_near_duplicates_match_brute_force(odd):
     assert got == near_by_hand(odd_documents())
 
 
-@pytest.mark.parametrize(("large", "block"), [(10_000, 512), (4, 7), (2, 30)])
-def test_near_duplicates_agree_for_any_blocks(odd, monkeypatch, large, block):
+@pytest.mark.parametrize(("large", "block", "shingles_held"), [(10_000, 512, 1 << 22), (4, 7, 1 << 22), (2, 512, 300)])
+def test_near_duplicates_agree_for_any_blocks(odd, monkeypatch, large, block, shingles_held):
     monkeypatch.setattr(ngram_join, "LARGE", large)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles_held)
     got = sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_shingles) for r in ngram_join.near_duplicates(odd).collect())
     assert got == near_by_hand(odd_documents())
 
