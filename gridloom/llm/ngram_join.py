@@ -196,8 +196,9 @@ def _compared(rows: DataFrame, keep: list[str], numerator: int, denominator: int
 def _balls(group: DataFrame, sets: DataFrame) -> DataFrame:
     """(node) of a group (node, comp, n) that lie within half the allowed distance of their group's centre."""
     order = Window.partitionBy("comp").orderBy(F.xxhash64("node"), "node")
-    some = group.withColumns({"nth": F.row_number().over(order), "held": F.sum("n").over(order)})
-    some = some.filter((F.col("nth") == 1) | ((F.col("nth") <= CENTRE_SAMPLE) & (F.col("held") <= BLOCK_SHINGLES))).select("node", "comp")
+    # the rank alone is filtered first: Spark then limits each partition's groups before the shuffle, however large they are
+    some = group.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= CENTRE_SAMPLE)
+    some = some.withColumn("held", F.sum("n").over(order)).filter((F.col("nth") == 1) | (F.col("held") <= BLOCK_SHINGLES)).select("node", "comp")
 
     def centre(pdf: pd.DataFrame) -> pd.DataFrame:
         values, n = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in pdf["set"]]), return_counts=True)
