@@ -1,5 +1,6 @@
 """Cases of the reviewer's list of round 1."""
 
+import datetime
 import random
 
 import pytest
@@ -28,3 +29,23 @@ def test_pii_runs_of_numbers_go_back():
     for text in texts:
         new, kinds = pii.pseudonymise(text, p)
         assert pii.pseudonymise(new, q) == (text, kinds)
+
+
+def test_pii_all_valid_dates_are_permuted():
+    p, q = pii.Permuter(b"key"), pii.Permuter(b"key", back=True)
+    for s in ("02/29/2020", "1850-06-01", "2100-01-01", "0001-01-01", "9999-12-31", "31.12.1899", "01/01/2100", "12/25/1850", "02/29/2104", "01/13/0001", "12/31/9999"):
+        new, kinds = pii.pseudonymise(s, p)
+        assert new != s and kinds == ["date"] and len(new) == len(s) and pii.pseudonymise(new, q) == (s, kinds)
+        near = 1900 <= int(s[:4] if "-" in s else s[-4:]) <= 2099
+        assert near == (1900 <= int(new[:4] if "-" in s else new[-4:]) <= 2099)
+    assert pii.pseudonymise("02/30/2020 02/29/2021 0000-01-01", p) == ("02/30/2020 02/29/2021 0000-01-01", [])
+    years, seen = set(), set()
+    for i in range(0, 366 * 5):
+        day = datetime.date(2019, 1, 1) + datetime.timedelta(i)
+        if day.day >= 13:
+            new = pii.pseudonymise(s := f"{day:%m/%d/%Y}", p)[0]
+            assert int(new[3:5]) >= 13 and datetime.datetime.strptime(new, "%m/%d/%Y") and pii.pseudonymise(new, q)[0] == s
+            years.add(new[-4:])
+            seen.add(new)
+    assert len(years) > 150 and len(seen) == sum((datetime.date(2019, 1, 1) + datetime.timedelta(i)).day >= 13 for i in range(366 * 5))
+    assert all(pii._late_day(pii._late_days(d)) == d for y in (1, 1899, 2000, 9999) for m in (1, 2, 12) for d in [datetime.date(y, m, 28)])
