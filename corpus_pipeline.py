@@ -13,15 +13,12 @@ from pyspark.sql import functions as F
 from gridloom.llm import bpe, decontamination, exact_dedup, language_id, ngram_join
 from gridloom.llm.common import shared_path
 
-#: A document whose best language has no more than even odds is not in any language that was learned.
-LEAST_SCORE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (null and empty texts too) or without a clear language go."""
+    """Documents without a letter (null and empty texts too) go. The score is no ground to drop others: it only tells the learned languages apart, and is low for clean short texts."""
     learned = docs.filter(F.col("doc_id").isNotNull() & ~language_id.held_out(F.col("doc_id")))
     judged = language_id.identify(docs, language_id.train(learned))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return judged.filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

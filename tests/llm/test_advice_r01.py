@@ -49,3 +49,12 @@ def test_pii_all_valid_dates_are_permuted():
             seen.add(new)
     assert len(years) > 150 and len(seen) == sum((datetime.date(2019, 1, 1) + datetime.timedelta(i)).day >= 13 for i in range(366 * 5))
     assert all(pii._late_day(pii._late_days(d)) == d for y in (1, 1899, 2000, 9999) for m in (1, 2, 12) for d in [datetime.date(y, m, 28)])
+
+
+def test_language_stage_keeps_clean_short_texts(spark):
+    import corpus_pipeline
+
+    own = {"aa": "bok dun fim", "bb": "gor hul jep", "cc": "kis lom nat", "dd": "pev quo rix"}
+    rows = [(i, f"de {own[lang]}", lang) for i, lang in enumerate(list(own) * 10)] + [(100, "De.", "aa"), (101, "de", None), (102, "...", "bb"), (103, None, "cc"), (104, "", "dd")]
+    kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 100, 101]
