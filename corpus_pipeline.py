@@ -6,19 +6,28 @@ Each stage works on all that the stage before it kept, whole texts, with the ope
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontamination, exact_dedup, language_id, ngram_join
 from gridloom.llm.common import shared_path
 
 
+def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """The documents with columns of these names renamed, so that an operator can add its own, and the columns that bring all back."""
+    clash = {c: f"_stage_{c}" for c in docs.columns if c.lower() in {*names}}
+    return docs.withColumnsRenamed(clash), [F.col(clash.get(c, c)).alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (null and empty texts too) go. The score is no ground to drop others: it only tells the learned languages apart, and is low for clean short texts."""
     learned = docs.filter(F.col("doc_id").isNotNull() & ~language_id.held_out(F.col("doc_id")))
-    judged = language_id.identify(docs, language_id.train(learned))
-    return judged.filter(F.col("lang_pred") != "und").select(*docs.columns)
+    rows, back = set_aside(docs, ["lang_pred", "score"])
+    judged = language_id.identify(rows, language_id.train(learned))
+    return judged.filter(F.col("lang_pred") != "und").select(*back)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +42,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter("n_hit = 0").select(*docs.columns)
+    rows, back = set_aside(docs, decontamination.OUTPUT)
+    found = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter("n_hit = 0").select(*back)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,13 @@ def test_language_stage_keeps_clean_short_texts(spark):
     rows = [(i, f"de {own[lang]}", lang) for i, lang in enumerate(list(own) * 10)] + [(100, "De.", "aa"), (101, "de", None), (102, "...", "bb"), (103, None, "cc"), (104, "", "dd")]
     kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 100, 101]
+
+
+def test_stages_keep_columns_named_as_those_of_the_operators(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"word{i} de la casa", "es", f"s{i}", "mine", "five", f"h{i}", "x", "y") for i in range(20)], "doc_id long, text string, lang string, score string, lang_pred string, N_words string, n_hit string, items string, spans string")
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_contaminated):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        assert sorted(out.collect()) == sorted(docs.collect())
