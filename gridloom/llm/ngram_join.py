@@ -397,11 +397,14 @@ def with_fingerprint(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, one of each class: that with the smallest doc_id. Documents without words stay."""
+    """The documents with all their columns, one of each class: that with the smallest doc_id. All documents without words stay."""
     rows, nodes = near_links(docs, id_col, text_col)
     rows = rows.join(nodes, "fp", "left").filter((F.col("n") == 0) | ((F.col("fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("class_id"))))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     kept = rows.select(key.alias("_gl_id"), F.col("fp").alias("_gl_fp")).distinct()
     named = with_fingerprint(docs, text_col, "_gl_fp").withColumn("_gl_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    nth = F.row_number().over(Window.partitionBy("_gl_id", "_gl_fp").orderBy("_gl_id", "_gl_fp"))
+    # texts without words have one fingerprint but are no copies of each other: each has a number of its own
+    worded = F.col("_gl_fp") != F.lit(fingerprint(np.empty(0, np.uint64)))
+    named = named.withColumn("_gl_row", F.when(worded, F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    nth = F.row_number().over(Window.partitionBy("_gl_id", "_gl_fp", "_gl_row").orderBy("_gl_id", "_gl_fp"))
     return named.join(kept, ["_gl_id", "_gl_fp"]).withColumn("_gl_nth", nth).filter("_gl_nth = 1").select(*docs.columns)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from gridloom.llm import pii
+from gridloom.llm import ngram_join, pii
 
 
 @pytest.mark.parametrize("card", ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "4222222222222"])
@@ -68,3 +68,11 @@ def test_stages_keep_columns_named_as_those_of_the_operators(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.schema.simpleString() == docs.schema.simpleString()
         assert sorted(out.collect()) == sorted(docs.collect())
+
+
+def test_near_deduplicated_keeps_all_texts_without_words(spark):
+    rows = [(None, "!!!"), (None, "???"), (1, "..."), (1, "--"), (1, "--"), (2, None), (2, ""), (3, "one two"), (3, "one two"), (None, "one two"), (4, "three")]
+    kept = ngram_join.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(map(repr, (r for r in got if r[1] not in ("one two", "three")))) == sorted(map(repr, rows[:7]))
+    assert len([r for r in got if r[1] == "one two"]) == 1 and (4, "three") in got
