@@ -169,9 +169,9 @@ class LoserTree:
 
 
 def merge_index(entries: DataFrame) -> DataFrame:
-    """The index in global order of (url_key, ts, page_id): range is its part, place its row there, capture the number in its URL's history within the part."""
+    """The index in global order of (url_key, ts, page_id): range is its part, place its row there, capture the number (from 0) in its URL's history within the part."""
     entries = materialize(entries, "capture-runs")
-    schema = entries.select("*", F.lit(0).alias("range"), F.lit(0).cast("long").alias("place")).schema
+    schema = entries.select("*", F.lit(0).alias("range"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("capture")).schema
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -191,7 +191,12 @@ def merge_index(entries: DataFrame) -> DataFrame:
         order = list(LoserTree(runs, keys.__getitem__))
         out = table.take(pa.array(order, pa.int64())).combine_chunks()
         out = out.append_column("range", pa.array([part] * len(order), pa.int32())).append_column("place", pa.array(range(len(order)), pa.int64()))
-        yield from out.to_batches()
+        captures, before = [], None
+        for row in order:
+            url = keys[row][0]
+            captures.append(captures[-1] + 1 if captures and url == before else 0)
+            before = url
+        yield from out.append_column("capture", pa.array(captures, pa.int64())).to_batches()
 
     ranged = entries.repartitionByRange("url_key", "ts", F.coalesce("page_id", F.lit(-(1 << 63))), "run").sortWithinPartitions("run", "seq")
     return ranged.mapInArrow(merge, schema)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from gridloom.llm import ngram_join, pii
+from gridloom.llm import ngram_join, pii, warc
 
 
 @pytest.mark.parametrize("card", ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "4222222222222"])
@@ -76,3 +76,13 @@ def test_near_deduplicated_keeps_all_texts_without_words(spark):
     got = [tuple(r) for r in kept.collect()]
     assert sorted(map(repr, (r for r in got if r[1] not in ("one two", "three")))) == sorted(map(repr, rows[:7]))
     assert len([r for r in got if r[1] == "one two"]) == 1 and (4, "three") in got
+
+
+def test_merged_index_numbers_the_captures_of_a_url(spark):
+    pages = [(i, f"http://{'ab'[i % 2]}.example.com/", f"page {i}") for i in range(12)] + [(20, None, "x"), (21, None, "y")]
+    got = warc.warc_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: (r.range, r.place)):
+        assert r.capture == seen.get((r.range, r.url_key), 0)
+        seen[r.range, r.url_key] = r.capture + 1
+    assert sum(seen.values()) == len(pages)
