@@ -23,8 +23,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    made = chat.chat_digests(rows.unionByName(extra), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return made.drop("n_tokens", "loss_tokens")  # SQL cannot count tokens
+    return chat.chat_digests(rows.unionByName(extra), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +74,11 @@ def _escaped(column: str) -> str:
     return out
 
 
+_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The words of the chat tokenizer. Of white space before a word all but the last character stands alone: a mark cuts it off.
+_CHAT_WORDS = rf"""list_filter(regexp_extract_all(regexp_replace(s, '([{_SPACE}]+)([{_SPACE}][^{_SPACE}])', '\1' || chr(1) || '\2', 'g'),
+  '''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}\x01]+|[{_SPACE}]+|\x01'), lambda x: x <> chr(1))"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -87,13 +91,28 @@ r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e
 c AS (SELECT doc_id, min(o) AS class_id FROM r GROUP BY doc_id),
 k AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
 SELECT c.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n.n, 0)::BIGINT AS n_shingles FROM c LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    # tokens are counted by byte-pair merging in SQL: the words of all segments, and in each step the pair of least rank
     "op2_chat_formatting": rf"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE c0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
-a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-  3 + sum(20 + length({_escaped("role")}) + length({_escaped("text")})) AS chars FROM c GROUP BY conv_id)
-SELECT conv_id::BIGINT AS conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM a""",
+c AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS rid, {_escaped("role")} AS r, {_escaped("text")} AS t FROM c0),
+seg AS (SELECT DISTINCT unnest([r, t]) AS s FROM c),
+cut AS (SELECT s, unnest({_CHAT_WORDS}) AS word FROM seg),
+vocab AS (SELECT lower(hex(from_base64(v[1]))) AS h, v[2]::INT AS rank FROM (SELECT string_split(line, ' ') AS v FROM read_csv('{public_tokenizers.path("byte_bpe_50k.tiktoken")}', columns = {{'line': 'VARCHAR'}}, header = false, delim = chr(9), quote = '', escape = '', auto_detect = false) WHERE line <> '')),
+words AS (SELECT DISTINCT word, lower(hex(encode(word))) AS h FROM cut),
+bpe AS (SELECT word, regexp_extract_all(h, '..') AS ps FROM words WHERE h NOT IN (SELECT h FROM vocab)
+  UNION ALL SELECT word, list_concat(list_append(ps[:best.j - 1], ps[best.j] || ps[best.j + 1]), ps[best.j + 2:]) FROM (
+    SELECT b.word, b.ps, min({{'rank': v.rank, 'j': j.j}}) AS best FROM bpe b, unnest(range(1, len(b.ps))) j(j) JOIN vocab v ON v.h = b.ps[j.j] || b.ps[j.j + 1] GROUP BY ALL)),
+sizes AS (SELECT w.word, coalesce(min(len(ps)), 1) AS n FROM words w LEFT JOIN bpe USING (word) GROUP BY w.word),
+counts AS (SELECT seg.s, coalesce(sum(n), 0)::BIGINT AS n FROM seg LEFT JOIN cut USING (s) LEFT JOIN sizes USING (word) GROUP BY seg.s),
+k AS (SELECT c.*, kr.n AS nr, kt.n AS nt, 1 + coalesce(sum(3 + kr.n + kt.n) OVER (PARTITION BY conv_id ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2 + kr.n AS pos
+  FROM c JOIN counts kr ON kr.s = r JOIN counts kt ON kt.s = t),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY rid) AS said,
+  coalesce(string_agg(text, '' ORDER BY rid) FILTER (role = 'assistant'), '') AS loss,
+  3 + sum(20 + length(r) + length(t)) AS chars, 1 + sum(3 + nr + nt) AS n_tokens, coalesce(sum(nt) FILTER (role = 'assistant'), 0) AS loss_tokens,
+  coalesce(string_agg(pos::BIGINT || '-' || (pos + nt)::BIGINT || ';', '' ORDER BY rid) FILTER (role = 'assistant' AND nt > 0), '') AS mask FROM k GROUP BY conv_id)
+SELECT conv_id::BIGINT AS conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars,
+  n_tokens::BIGINT AS n_tokens, loss_tokens::BIGINT AS loss_tokens, sha256(mask) AS mask_sha256 FROM a""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
