@@ -5,8 +5,9 @@ there (matches of an Aho-Corasick automaton over the vocabulary) as the longest
 token of the prefix before it; compatible means that merging their texts together would give back just these two tokens.
 Back-pointers from the whole word then spell the ids. Time is linear in the word's length for any vocabulary.
 
-The vocabulary file is that of a word-end BPE tokenizer (see `Vocabulary`); its path is a parameter. Word encodings and
-pair tests are kept in caches of bounded size on each worker, which changes no result.
+The vocabulary file is that of a word-end BPE tokenizer (see `Vocabulary`); its path is a parameter. No word reaches over
+white space, so texts are cut there, and the encodings of the pieces are kept, like pair tests, in caches of bounded size
+on each worker, which changes no result.
 
 Cases: null text counts as empty (no tokens). Texts of any length are encoded whole. Equal rows get equal results, and
 an empty table gives an empty result.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,7 +30,11 @@ from pyspark.sql import functions as F
 from .common import slices, without
 
 CACHE_WORDS = 200_000
+#: Longer pieces are encoded anew each time, so that the cache stays small.
+CACHE_LENGTH = 64
 CACHE_PAIRS = 500_000
+#: Separators that Python's split() takes for white space and the pre-tokenizer does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 #: The pre-tokenizer pattern, special tokens and word-end mark of the tokenizer file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -41,6 +47,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(seen) else chr(next(spare)) for b in range(256)]
 
 
+class Pieces(dict):
+    """Encodings of words or pieces of text, (ids, decoded), each joined by spaces; a missing one is made, and kept if it is short."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> tuple[str, str]:
+        found = self.make(piece)
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Vocabulary:
     """A vocabulary whose last symbol of a word is a letter joined with the word end.
 
@@ -73,12 +95,14 @@ class Vocabulary:
                 self.rank[a + b], self.parts[a + b] = r, (a, b)
         self.fits: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for token in self.ids:
-            if token in self.rank or len(token) == 1:
-                if self._own(token):
-                    self.automaton.add_word(token, token)
+        self.own = {t for t in self.ids if (t in self.rank or len(t) == 1) and self._own(t)}
+        for token in self.own:
+            self.automaton.add_word(token, token)
         self.automaton.make_automaton()
-        self.cache: dict[str, tuple[str, str, int]] = {}
+        self.id_text = {t: str(i) for t, i in self.ids.items()}
+        self.shown_text = {t: self.shown[i] for t, i in self.ids.items()}
+        self.byte_table = dict(enumerate(self.letters))
+        self.words_seen, self.cache = Pieces(self._word), Pieces(self._piece)
 
     def _inner(self, token: str) -> str:
         if token.endswith(WORD_END) and len(token) > len(WORD_END):
@@ -115,37 +139,38 @@ class Vocabulary:
                 # before rank rb, b was its left part; a seam merge of the same rank lies further left, so it comes first
                 limit, b = min(limit, rb + 1), self.parts[b][0]
 
-    def _fit(self, a: str, b: str) -> bool:
-        if (known := self.fits.get((a, b))) is None:
-            if len(self.fits) >= CACHE_PAIRS:
-                self.fits.clear()
-            known = self.fits[(a, b)] = self.compatible(a, b)
-        return known
-
     def encode_inner(self, word: str) -> list[str]:
         """The tokens of a word of inner symbols."""
-        if word in self.ids and (word in self.rank or len(word) == 1) and self._own(word):
+        if word in self.own:
             return [word]
-        ends: list[list[str]] = [[] for _ in word]
-        for end, token in self.automaton.iter(word):
-            ends[end].append(token)
+        fits = self.fits
         last: list[str | None] = [None] * (len(word) + 1)
-        for end, tokens in enumerate(ends, 1):
-            for token in sorted(tokens, key=len, reverse=True):
-                start = end - len(token)
-                if start == 0 or (last[start] is not None and self._fit(last[start], token)):
-                    last[end] = token
-                    break
+        for end, token in self.automaton.iter(word):  # at each end the longest comes first
+            end += 1
+            if last[end] is not None:
+                continue
+            start = end - len(token)
+            if start:
+                pair = (last[start], token)
+                if (fit := fits.get(pair)) is None:
+                    if len(fits) >= CACHE_PAIRS:
+                        fits.clear()
+                    fit = fits[pair] = self.compatible(*pair)
+                if not fit:
+                    continue
+            last[end] = token
         out, at = [], len(word)
         while at:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
+    def _tokens(self, word: str) -> list[str]:
+        raw = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.byte_table)
+        return self.encode_inner(raw[:-1] + chr(ord(raw[-1]) + self.END))
+
     def encode_word(self, word: str) -> list[int]:
-        raw = "".join(map(self.letters.__getitem__, word.encode("utf-8")))
-        raw = raw[:-1] + chr(ord(raw[-1]) + self.END)
-        return [self.ids[t] for t in self.encode_inner(raw)]
+        return [self.ids[t] for t in self._tokens(word)]
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """Words of a text in order, and special tokens (True), which are found before anything is normalised."""
@@ -166,13 +191,20 @@ class Vocabulary:
         """Token texts joined by spaces: the file names no decoder."""
         return " ".join(self.shown[i] for i in ids)
 
-    def coded(self, word: str) -> tuple[str, str, int]:
-        """ids joined by spaces, their decoding, and their number, of one word."""
-        ids = self.encode_word(word)
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        found = self.cache[word] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-        return found
+    def _word(self, word: str) -> tuple[str, str]:
+        tokens = self._tokens(word)
+        return " ".join(map(self.id_text.__getitem__, tokens)), " ".join(map(self.shown_text.__getitem__, tokens))
+
+    def _piece(self, piece: str) -> tuple[str, str]:
+        if piece.isascii() and piece.isalpha():
+            return self.words_seen[piece.lower()]
+        found = [(str(self.special[word]), word) if special else self.words_seen[word] for word, special in self.pieces(piece)]
+        return found[0] if len(found) == 1 else (" ".join([ids for ids, _ in found]), " ".join([shown for _, shown in found]))
+
+    def coded(self, text: str) -> tuple[str, str]:
+        """ids joined by spaces, and their decoding, of a text."""
+        both = list(map(self.cache.__getitem__, [text] if _SEPARATORS.search(text) else text.split()))
+        return " ".join([ids for ids, _ in both]), " ".join([shown for _, shown in both])
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -191,19 +223,13 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        cache = v.cache
         for part in slices(batches, "text"):
             n, ids_sha, text_sha = [], [], []
             for text in part.column("text").to_pylist():
-                coded = []
-                for piece, special in v.pieces(text or ""):
-                    if special:
-                        coded.append((str(v.special[piece]), piece, 1))
-                    else:
-                        coded.append(cache.get(piece) or v.coded(piece))
-                n.append(sum(c[2] for c in coded))
-                ids_sha.append(hashlib.sha256(" ".join([c[0] for c in coded]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(" ".join([c[1] for c in coded]).encode()).hexdigest())
+                ids, shown = v.coded(text or "")
+                n.append(ids.count(" ") + 1 if ids else 0)
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                text_sha.append(hashlib.sha256(shown.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(digest, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -233,6 +259,3 @@ def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str =
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     return rows.mapInArrow(decode, rows.withColumn(out_col, F.lit("")).schema)
-
-
-
