@@ -39,7 +39,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "capture", "position")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +113,17 @@ a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(pos::BIGINT || '-' || (pos + nt)::BIGINT || ';', '' ORDER BY rid) FILTER (role = 'assistant' AND nt > 0), '') AS mask FROM k GROUP BY conv_id)
 SELECT conv_id::BIGINT AS conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars,
   n_tokens::BIGINT AS n_tokens, loss_tokens::BIGINT AS loss_tokens, sha256(mask) AS mask_sha256 FROM a""",
-    "op6_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, replace(replace(replace(replace(coalesce(url, ''), chr(9), '%09'), chr(10), '%0A'), chr(13), '%0D'), ' ', '%20') AS url,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0)), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM pages),
+k AS (SELECT *, lower(url) AS lo, regexp_extract(lower(url), '(?s)^.*?://([^/?#]*)', 1) AS host FROM p),
+u AS (SELECT *, CASE WHEN host = '' THEN lo ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || regexp_extract(lo, '(?s)^.*?://[^/?#]*(.*)$', 1) END AS url_key FROM k),
 g AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
-SELECT p.page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
-  CASE WHEN g.top IS NULL OR g.top = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN g.top <> p.page_id THEN g.top END AS refers_to
-FROM p LEFT JOIN g ON p.h = g.h""",
+SELECT u.page_id, strlen(u.h)::BIGINT AS payload_bytes, sha1(u.h) AS payload_digest,
+  CASE WHEN g.top IS NULL OR g.top = u.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.top <> u.page_id THEN g.top END AS refers_to, url_key, ts,
+  row_number() OVER (PARTITION BY url_key ORDER BY ts, u.page_id NULLS FIRST) - 1 AS capture, row_number() OVER (ORDER BY url_key, ts, u.page_id NULLS FIRST) - 1 AS position
+FROM u LEFT JOIN g ON u.h = g.h""",
     "op7_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
 g AS (SELECT *, count(*) OVER (PARTITION BY t) AS group_size, first_value(doc_id) OVER (PARTITION BY t ORDER BY c DESC, doc_id) AS keep_id FROM d)

@@ -3,16 +3,20 @@
 Writing: of records with equal payloads of at least `min_bytes` bytes the one with the largest page_id is a response,
 the others are revisits without a payload. Groups are found by a map-side combined aggregate over digests; the pages
 themselves are dealt by page, never by payload, so large groups of copies stay spread. Each task sorts its captures by
-URL key and time and writes them as one archive (a locally sorted run) through Spark's own file writer and its commit
-protocol: lost tasks are written again, and any store that Spark can write to will do.
+URL key and time and writes them as archives (locally sorted runs) through Spark's own file writer and its commit
+protocol: lost tasks are written again, and any store that Spark can write to will do. Pages are written by size class, so
+that the payloads of an archive are bounded by bytes (`FILE_BYTES`, or one page that is larger).
 
 Reading: records are parsed by their Content-Length, one archive at a time. The runs' index entries are dealt by ranges
-of (URL key, time, page), and in each range a loser tree merges the k sorted runs; ranges follow each other, so
-the result is the capture history in global order, and one hot host or URL spans as many ranges as it needs.
+of (URL key, time, page, run, place in the run), `RANGE_ROWS` each on average, and in each range a loser tree merges the k
+sorted runs. Ranges follow each other, so the result is the capture history in global order, and one hot host or URL, or one
+page repeated, spans as many ranges as it needs. Positions and capture numbers are made global from the ranges' ends, a few numbers a range.
 
-Cases: null html is an empty payload; a null url has an empty target; line breaks in urls are percent-encoded. A null
-page_id counts as smaller than any other. Repeated rows with the largest page_id are all responses. Empty tables give
-empty archives and results. Other columns are ignored.
+The URL that is written is the one that sorts: tabs, line breaks and blanks are percent-encoded before its key is made.
+
+Cases: null html is an empty payload; a null url has an empty target. A null page_id counts as smaller than any other.
+Repeated rows with the largest page_id are all responses. Very long payloads are written whole, in archives of their own.
+Empty tables give empty archives and results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ import io
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path
+from .common import discard, materialize, shared_path
 
 MIN_BYTES = 1000
-RECORDS_PER_FILE = 2_000
+FILE_BYTES = 64 << 20
+RECORDS_PER_FILE = 2_000  # of at most FILE_BYTES / RECORDS_PER_FILE bytes; fewer of larger ones
+RANGE_ROWS = 200_000
 CRLF = "\r\n"
 #: A fixed value of the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -44,6 +50,14 @@ def url_key(url: Column) -> Column:
     return F.when(host == "", lower).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest))
 
 
+def target_uri(url: Column) -> Column:
+    """The URL as it is written: on one line, without blanks that a header field would lose."""
+    out = F.coalesce(url, F.lit(""))
+    for c in "\t\n\r ":
+        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return out
+
+
 def _record(kind: Column) -> Column:
     """A WARC record without its closing blank lines, as text."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -55,7 +69,7 @@ def _record(kind: Column) -> Column:
         F.lit(f"WARC/1.0{CRLF}"),
         line("WARC-Type", kind),
         line("WARC-Record-ID", urn(page)),
-        line("WARC-Target-URI", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")),
+        line("WARC-Target-URI", F.col("url")),
         line("WARC-Date", F.col("ts")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         line("X-Payload-Length", F.col("bytes").cast("string")),
@@ -67,20 +81,29 @@ def _record(kind: Column) -> Column:
     )
 
 
+def _size_class(size: Column) -> Column:
+    """0 for pages of up to FILE_BYTES / RECORDS_PER_FILE bytes, 1 for those of up to four times as many, and so on."""
+    limit = FILE_BYTES / RECORDS_PER_FILE
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(size, F.lit(1)) / limit))).cast("int")
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ts_col: str | None = None, min_bytes: int = MIN_BYTES) -> None:
     """Write every page as a WARC record. Without a column of capture times, a page's time follows from its id."""
     ts = F.col(ts_col) if ts_col else F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), target_uri(F.col(url_col)).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
     base = base.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html"), "full": F.sha2(F.col("html"), 256)})
     slim = base.filter(F.col("bytes") >= min_bytes).select("page_id", "full")
+    classes = sorted(r[0] for r in base.select(_size_class(F.col("bytes")).alias("c")).distinct().collect()) or [0]  # at most 16
     groups = slim.groupBy("full").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND refers_to IS NOT NULL").drop("n")
     groups = materialize(groups, "payload-groups")
     revisits = slim.join(groups, "full").filter("page_id IS NULL OR page_id < refers_to").distinct()
     revisits = materialize(revisits.select(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("key"), "full", "refers_to"), "revisits")
     rows = base.withColumn("key", F.coalesce(F.col("page_id"), F.lit(-(1 << 63)))).join(revisits, ["key", "full"], "left")
     kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
-    rows = rows.withColumn("url_key", url_key(F.col("url"))).sortWithinPartitions("url_key", "ts", "page_id")
-    rows.select(_record(kind).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows = rows.withColumn("url_key", url_key(F.col("url")))
+    for c in classes:
+        mine = rows.filter(_size_class(F.col("bytes")) == c).sortWithinPartitions("url_key", "ts", "page_id")
+        mine.select(_record(kind).alias("value")).write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> 2 * c)).text(path)
 
 
 def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
@@ -96,7 +119,7 @@ def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
         while (line := stream.readline()).strip():
             at += len(line)
             name, _, value = line.decode("utf-8").partition(":")
-            fields[name.strip().lower()] = value.strip()
+            fields[name.lower()] = value.strip(" \t\r\n")
         at += len(line)
         block = stream.read(int(fields["content-length"]))
         at += len(block)
@@ -169,9 +192,10 @@ class LoserTree:
 
 
 def merge_index(entries: DataFrame) -> DataFrame:
-    """The index in global order of (url_key, ts, page_id): range is its part, place its row there, capture the number (from 0) in its URL's history within the part."""
+    """The index in global order of (url_key, ts, page_id): position is the row's place in it, capture its number in its URL's history (both from 0)."""
     entries = materialize(entries, "capture-runs")
-    schema = entries.select("*", F.lit(0).alias("range"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("capture")).schema
+    spark = entries.sparkSession
+    schema = entries.select("*", F.lit(0).alias("range"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("nth")).schema
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -196,10 +220,23 @@ def merge_index(entries: DataFrame) -> DataFrame:
             url = keys[row][0]
             captures.append(captures[-1] + 1 if captures and url == before else 0)
             before = url
-        yield from out.append_column("capture", pa.array(captures, pa.int64())).to_batches()
-
-    ranged = entries.repartitionByRange("url_key", "ts", F.coalesce("page_id", F.lit(-(1 << 63))), "run").sortWithinPartitions("run", "seq")
-    return ranged.mapInArrow(merge, schema)
+        yield from out.append_column("nth", pa.array(captures, pa.int64())).to_batches()
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // RANGE_ROWS))
+    ranged = entries.repartitionByRange(parts, "url_key", "ts", F.coalesce("page_id", F.lit(-(1 << 63))), "run", "seq").sortWithinPartitions("run", "seq")
+    merged = materialize(ranged.mapInArrow(merge, schema), "merged-captures")
+    discard(entries)
+    # the ends of the ranges: what stands before each of them, and how often its first URL was met there
+    ends = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("url_key").alias("first"), F.max("url_key").alias("last"), (F.max_by("nth", "place") + 1).alias("tail"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range, not a capture
+    ends = ends.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    asked = ends.select("range", F.col("first").alias("url"), F.lit(0).cast("long").alias("tail"), "before", F.lit(True).alias("asks"))
+    ends = asked.unionByName(ends.select("range", F.col("last").alias("url"), "tail", "before", F.lit(False).alias("asks")))
+    same = Window.partitionBy("url").orderBy("range").rangeBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("met", F.coalesce(F.sum("tail").over(same), F.lit(0))).filter("asks").select("range", "url", "met", "before")
+    capture = F.col("nth") + F.when(F.col("url_key") == F.col("url_"), F.col("met")).otherwise(0)
+    out = merged.join(ends.withColumnRenamed("url", "url_"), "range").withColumns({"capture": capture, "position": F.col("before") + F.col("place")})
+    return out.select(*[x.split()[0] for x in INDEX.split(", ")], "capture", "position")
 
 
 def warc_round_trip(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
