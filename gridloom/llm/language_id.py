@@ -1,12 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts every n-gram of every training text (nothing is sampled): partitions count into arrays, and only
-(language, bucket, count) rows are shuffled. The model is a matrix of languages x buckets log-probabilities, whose size
-is bounded by `MAX_MODEL_BYTES` (checked), broadcast to the workers, which score documents as sparse gathers in numpy.
+Training counts every n-gram of every training text (nothing is sampled): partitions count into arrays, only
+(language, bucket, count) rows are shuffled, and the languages' sums come to the driver one language at a time. The model,
+languages x buckets log-probabilities in float32, is bounded by `MAX_MODEL_BYTES` (checked before training) and broadcast
+to the workers. They score a slice of documents at a time: its n-grams are one sparse batch of (document, bucket) entries,
+gathered from each language's row and summed by document, `ENTRIES` of them at once, so that memory is bounded for texts of any length.
 
-Cases: null text or text without a letter: `und`, score 0. With no training rows at all every document is `und`.
+`margin` is the log-likelihood of the best language, by n-gram, above that of a background that knows nothing (every
+bucket alike). It does not depend on the text's length. Below 0 a text looks like none of the learned languages.
+
+Cases: null text or text without a letter: `und`, score and margin 0. With no training rows at all every document is `und`.
 Null languages and texts are not learned from. A null doc_id is in neither fold's training and counts as not held out.
-Repeated rows are scored alike; ties between languages go to the first in order; empty tables give empty results.
+Very long texts are read whole. Repeated rows are scored alike; ties between languages go to the first in order; empty
+tables give empty results; columns that clash with those added are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 MAX_MODEL_BYTES = 256 << 20
+ENTRIES = 1 << 19
 FOLDS = 5
 
 _letters: list[np.ndarray] = []
@@ -46,7 +53,8 @@ def ngram_buckets(text: bytes | None, buckets: int = BUCKETS) -> np.ndarray:
     u = np.where(letter, u, 32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    u = np.concatenate([[32], u[keep], [32]]).astype(np.uint64)
+    u = u[keep]
+    u = np.concatenate([[32], u if u[-1] == 32 else np.append(u, 32)]).astype(np.uint64)
     out, code = [], np.zeros(len(u), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         code = (code[: len(u) - n + 1] << np.uint64(21)) | u[n - 1 :]
@@ -60,7 +68,7 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log-probabilities, [buckets, languages] float32, from all rows with both columns."""
+    """Languages in order and their log-probabilities, [languages, buckets] float32, from all rows with both columns."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -78,45 +86,66 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
     langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_MODEL_BYTES // (4 * buckets) + 1).collect())
     if len(langs) * buckets * 4 > MAX_MODEL_BYTES:
         raise ValueError(f"more languages than a model of {MAX_MODEL_BYTES} bytes can hold")
-    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    matrix = np.full((buckets, len(langs)), SMOOTHING)
+    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    by_lang = counts.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
+    table = np.zeros((len(langs), buckets), np.float32)
+    table[:] = -np.log(buckets)  # a language whose texts have no letter
     at = {lang: i for i, lang in enumerate(langs)}
-    col = np.array([at[x] for x in counts.column("lang").to_pylist()], np.int64)
-    matrix[counts.column("bucket").to_numpy(), col] += counts.column("n").to_numpy()
-    return langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
+    for r in by_lang.toLocalIterator():  # one language at a time
+        row = np.full(buckets, SMOOTHING)
+        row[np.array(r["buckets"], np.int64)] += np.array(r["counts"], np.float64)
+        table[at[r["lang"]]] = np.log(row / row.sum())
+    return langs, table
+
+
+def batch_scores(table: np.ndarray, hashed: list[np.ndarray]) -> np.ndarray:
+    """[documents, languages] log-likelihoods of documents as lists of buckets; those without any have 0."""
+    sizes = np.array([len(h) for h in hashed], np.int64)
+    out = np.zeros((len(hashed), len(table)))
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    flat = np.concatenate([hashed[i] for i in full])
+    ends = np.cumsum(sizes[full])
+    for start in range(0, len(flat), ENTRIES):
+        part = flat[start : start + ENTRIES]
+        first = int(np.searchsorted(ends, start, side="right"))
+        last = int(np.searchsorted(ends, start + len(part), side="left"))
+        cuts = np.concatenate([[0], ends[first:last] - start])
+        for lang, row in enumerate(table):
+            out[full[first : last + 1], lang] += np.add.reduceat(row[part], cuts, dtype=np.float64)
+    return out
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The documents with lang_pred and score (the posterior of lang_pred under equal priors) added."""
+    """The documents with lang_pred, score (the posterior of lang_pred under equal priors) and margin (see above) added."""
     langs, logp = model
-    docs = without(docs, ["lang_pred", "score"], (text_col,))
+    docs = without(docs, ["lang_pred", "score", "margin"], (text_col,))
     sent = docs.sparkSession.sparkContext.broadcast(logp)
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    buckets = logp.shape[0]
+    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "margin": F.lit(0.0)}).schema
+    buckets = logp.shape[1]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        for part in slices(batches, text_col):
-            pred, conf = [], []
-            for text in as_bytes(part.column(text_col)):
-                h = ngram_buckets(text, buckets) if langs else ()
-                if not len(h):
-                    pred.append("und")
-                    conf.append(0.0)
-                    continue
-                total = np.zeros(len(langs))
-                for i in range(0, len(h), 1 << 18):
-                    total += table[h[i : i + (1 << 18)]].sum(axis=0, dtype=np.float64)
-                best = int(total.argmax())
-                pred.append(langs[best])
-                conf.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+        for part in slices(batches, text_col, 1 << 20):
+            hashed = [ngram_buckets(text, buckets) for text in as_bytes(part.column(text_col))]
+            known = np.array([len(h) for h in hashed], np.int64) if langs else np.zeros(len(hashed), np.int64)
+            if langs:
+                totals = batch_scores(table, hashed)
+                best = totals.argmax(axis=1)
+                top = totals[np.arange(len(best)), best]
+                conf = np.where(known > 0, 1 / np.exp(np.maximum(totals - top[:, None], -700)).sum(axis=1), 0.0)
+                margin = np.where(known > 0, top / np.maximum(known, 1) + np.log(buckets), 0.0)
+                pred = [langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
+            else:
+                pred, conf, margin = ["und"] * len(hashed), np.zeros(len(hashed)), np.zeros(len(hashed))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64()), pa.array(margin, pa.float64())], names=[*part.schema.names, "lang_pred", "score", "margin"])
 
     return docs.mapInArrow(score, schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learned from the rows that are not held out, predicted for all."""
+    """doc_id, held_out, lang_pred, score, margin: learned from the rows that are not held out, predicted for all."""
     model = train(docs.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))), text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "margin")

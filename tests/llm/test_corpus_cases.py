@@ -1,11 +1,13 @@
 """Further cases of the corpus operators: very long texts, odd rows, clashing columns, brute force."""
 
 import hashlib
+import math
+import random
 
 import public_tokenizers
 import pytest
 
-from gridloom.llm import chat
+from gridloom.llm import bpe, chat, language_id, warc
 
 CHAT = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -40,3 +42,113 @@ def test_chat_masks_are_prefix_sums_over_whole_conversations(spark):
         digest = [d for d in chat.chat_digests(df, CHAT).collect() if d.conv_id == conv][0]
         assert (digest.n_tokens, digest.formatted_chars) == (len(ids), len(text))
         assert digest.mask_sha256 == hashlib.sha256("".join(mask).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("rows_per_range", [1, 7, 200_000])
+def test_warc_histories_match_a_plain_sort(spark, monkeypatch, rows_per_range):
+    monkeypatch.setattr(warc, "RANGE_ROWS", rows_per_range)
+    rnd = random.Random(4)
+    odd = ["http://h.com/a\nz", "http://h.com/a!", " http://h.com/a ", "http://h.com/a\t", "\x0bhttp://h.com/\x1f", "http://h.com/\x85", "http://É.com/ü?q=\u2028", "no scheme", "", None, "HTTP://B.a.COM/X", "http://a.com:80/#f", "http://a.com/ \r\n\r\nWARC/1.0"]
+    pages = [(i, rnd.choice(odd), f"page {i % 9}" * rnd.choice([1, 300])) for i in range(300)] + [(400, "http://hot/", "x")] * 40 + [(None, None, None)] * 3
+    got = warc.warc_round_trip(spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, ts string").repartition(5)).collect()
+    assert len(got) == len(pages)
+    order = sorted(got, key=lambda r: r.position)
+    keys = [(r.url_key.encode(), r.ts, -1 if r.page_id is None else r.page_id) for r in order]
+    assert keys == sorted(keys) and [r.position for r in order] == list(range(len(pages)))
+    seen = {}
+    for r in order:
+        assert r.capture == seen.get(r.url_key, 0)
+        seen[r.url_key] = r.capture + 1
+    plain = lambda u: "".join(f"%{ord(c):02X}" if c in "\t\n\r " else c for c in u or "")
+    assert sorted((str(r.page_id), r.url) for r in got) == sorted((str(i), plain(u)) for i, u, _ in pages)
+
+
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 256)
+    rnd = random.Random(1)
+    pages = [(i, f"http://h/{i}", "".join(rnd.choices("abcdef", k=n))) for i, n in enumerate([10] * 700 + [40_000] * 60 + [3_000_000] * 2)]
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    held = {}
+    for r in warc.read_warc(spark, str(tmp_path / "w")).collect():
+        held.setdefault(r.run, []).append(r.payload_bytes)
+    assert sum(map(len, held.values())) == len(pages)
+    assert all(sum(v) <= 1 << 20 or len(v) == 1 for v in held.values()) and max(map(len, held.values())) == 256
+
+
+def naive_bayes_by_hand(learned, texts):
+    """Counts, smoothed log-probabilities and posteriors with plain dictionaries."""
+
+    def grams(text):
+        out, word = [], " "
+        for c in (text or "").lower():
+            word += c if c.isalpha() else "" if word.endswith(" ") else " "
+        word = word if word.endswith(" ") else word + " "
+        return [word[i : i + n] for n in language_id.ORDERS for i in range(len(word) - n + 1)] if word.strip() else out
+
+    bucket = {}
+
+    def place(g):
+        if g not in bucket:
+            code = 0
+            for c in g:
+                code = (code << 21) | ord(c)
+            x = (code + (len(g) << 60)) % (1 << 64)
+            for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                x = (x ^ (x >> shift)) * odd % (1 << 64)
+            bucket[g] = x % language_id.BUCKETS
+        return bucket[g]
+
+    counts = {}
+    for text, lang in learned:
+        if text is not None and lang is not None:
+            mine = counts.setdefault(lang, {})
+            for g in grams(text):
+                mine[place(g)] = mine.get(place(g), 0) + 1
+    out = []
+    for text in texts:
+        g = grams(text)
+        if not g or not counts:
+            out.append(("und", 0.0, 0.0))
+            continue
+        total = {}
+        for lang, c in counts.items():
+            n = sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS
+            total[lang] = sum(math.log((c.get(place(x), 0) + language_id.SMOOTHING) / n) for x in g)
+        best = min(total, key=lambda k: (-total[k], k))
+        out.append((best, 1 / sum(math.exp(max(-700, t - total[best])) for t in total.values()), total[best] / len(g) + math.log(language_id.BUCKETS)))
+    return out
+
+
+@pytest.mark.parametrize("entries", [1 << 19, 50])
+def test_language_id_matches_naive_bayes_by_hand(spark, monkeypatch, entries):
+    monkeypatch.setattr(language_id, "ENTRIES", entries)
+    rnd = random.Random(7)
+    parts = {"aa": ["the", "ing", "and", "ou"], "bb": ["ung", "sch", "ein", "ü"], "cc": ["что", "это", "не", "и"]}
+    prose = lambda lang, n: " ".join("".join(rnd.choices(parts[lang], k=rnd.randrange(1, 4))) for _ in range(n)) + rnd.choice([".", "!", ""])
+    rows = [(i, prose(lang, rnd.randrange(1, 40)), lang) for i, lang in enumerate([*parts] * 20)]
+    rows += [(70, None, "aa"), (71, "", "bb"), (72, "12 34", None), (73, prose("aa", 5), None), (None, prose("bb", 9), "cc"), (74, "the" * 20_000, "aa"), (73, "İ ẞ", "aa"), (73, "x", None)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, lang_pred string, margin int").repartition(3)
+    got = language_id.language_id(df).collect()
+    import zlib
+
+    mine = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 0
+    want = naive_bayes_by_hand([(t, lang) for i, t, lang in rows if mine(i)], [t for _, t, _ in rows])
+    got = sorted((str(r.doc_id), r.lang_pred, round(r.score, 4), round(r.margin, 3)) for r in got)
+    for a, b in zip(got, sorted((str(i), lang, round(s, 4), round(m, 3)) for (i, *_), (lang, s, m) in zip(rows, want, strict=True)), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-3 and abs(a[3] - b[3]) < 3e-3
+
+
+def test_bpe_query_matches_the_library_on_a_table(spark):
+    """The registered query over a whole table, and texts that the cut at white space must not change."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs += [(-1, "a\x1cb\x1d \x1f"), (-2, "x\u00a0y\u2003z\x85w"), (-3, "e\u0301 \u0308a <|endoftext|>b<|endoftext|> c"), (-4, "İstanbul ΑΣ'S it's"), (-5, "word " * 300_000), (-6, None), (-7, "\u200bx\u3000y" * 3)]
+    got = {r.doc_id: r for r in bpe.bpe_digests(spark.createDataFrame(docs, "doc_id long, text string"), path).collect()}
+    for i, text in docs:
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), i
+        assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest(), i

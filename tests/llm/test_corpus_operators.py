@@ -318,9 +318,9 @@ def test_warc_round_trip(spark):
         same = h == big.encode() and i != 8
         want.append((str(i), len(h), hashlib.sha1(h).hexdigest(), "revisit" if same else "response", "8" if same else "None"))
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == sorted(want)
-    order = sorted(got, key=lambda r: (r.range, r.place))
+    order = sorted(got, key=lambda r: r.position)
     keys = [(r.url_key, r.ts) for r in order]
-    assert keys == sorted(keys)
+    assert keys == sorted(keys) and [r.position for r in order] == list(range(len(rows)))
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
