@@ -1,13 +1,15 @@
 """Further cases of the corpus operators: very long texts, odd rows, clashing columns, brute force."""
 
+import datetime
 import hashlib
 import math
 import random
+import re
 
 import public_tokenizers
 import pytest
 
-from gridloom.llm import bpe, chat, language_id, warc
+from gridloom.llm import bpe, chat, language_id, pii, warc
 
 CHAT = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -152,3 +154,60 @@ def test_bpe_query_matches_the_library_on_a_table(spark):
         ids = lib.encode(text or "", add_special_tokens=False).ids
         assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), i
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest(), i
+
+
+P, Q = pii.Permuter(b"key"), pii.Permuter(b"key", back=True)
+
+
+def pseudonym(s):
+    new, kinds = pii.pseudonymise(s, P)
+    assert pii.pseudonymise(new, Q) == (s, kinds)
+    return new
+
+
+def test_pii_links_values_across_layouts():
+    digits = lambda s: re.sub(r"\D", "", s)
+    phones = {digits(pseudonym(s))[-10:] for s in ("(017) 555-7713", "017-555-7713", "017.555.7713", "+1 017 555 7713", "+49 (017) 555 7713")}
+    assert len(phones) == 1 and phones != {"0175557713"}
+    mails = [pseudonym(s) for s in ("Ann.Lee7@x.com", "ann.lee7@x.com", "ANN.LEE7@X.COM")]
+    assert len({m.lower() for m in mails}) == 1 and mails[0] != mails[1] and mails[0].lower() != "ann.lee7@x.com"
+    assert len({pseudonym("ann@x.com").split("@")[0], pseudonym("ann@y.com").split("@")[0]}) == 2
+    cards = {digits(pseudonym(s)) for s in ("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111")}
+    assert len(cards) == 1
+    seen = set()
+    for k in range(0, 3_652_059, 1499):  # days of the years 1 to 9999
+        day = datetime.date.fromordinal(k + 1)
+        y, m, d = f"{day.year:04d}", f"{day.month:02d}", f"{day.day:02d}"
+        new = datetime.date.fromisoformat(pseudonym(f"{y}-{m}-{d}"))
+        assert datetime.datetime.strptime(pseudonym(f"{d}.{m}.{y}"), "%d.%m.%Y").date() == new
+        assert datetime.datetime.strptime(pseudonym(f"{d}/{m}/{y}"), "%d/%m/%Y").date() == new
+        if day.day >= 13:
+            assert datetime.datetime.strptime(pseudonym(f"{m}/{d}/{y}"), "%m/%d/%Y").date() == new
+        assert (day.day >= 13) == (new.day >= 13) and (1900 <= day.year < 2100) == (1900 <= new.year < 2100)
+        seen.add(new)
+    assert len(seen) == len(range(0, 3_652_059, 1499))
+
+
+def test_pii_permutes_all_days_of_two_centuries():
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(73_049)]
+    image = {pii._date(P, d.isoformat()) for d in days}
+    assert image == {d.isoformat() for d in days}
+
+
+def test_pii_leaves_no_user_in_clear_and_no_clean_number_changed():
+    assert pseudonym("_._%+@x.com") != "_._%+@x.com"
+    assert pseudonym("ñandú.é@x.com").split("@")[0] != "ñandú.é" and pseudonym("éèù@x.com") != "éèù@x.com"
+    assert pseudonym("中文名字@x.com") != "中文名字@x.com" and len(pseudonym("中文名字@x.com")) == len("中文名字@x.com")
+    clean = "at 1700000000123 ms, id 9807915762804490, 4111111111111112, v1.2.3, 999.1.1.1, 2024-02-30, 12/2020, 3.14159 a@b x@y"
+    assert pii.pseudonymise(clean, P) == (clean, [])
+    new, kinds = pii.pseudonymise("9807915762804490", P, numbers=True)
+    assert kinds == ["number"] and new != "9807915762804490" and pii.pseudonymise(new, Q, numbers=True)[0] == "9807915762804490"
+
+
+def test_pii_reads_very_long_texts_whole(spark):
+    card, mail = "4111 1111 1111 1111", "ann@x.com"
+    text = "word " * 200_000 + card + "\n" + "9 " * 50_000 + "\n" + "x" * 500_000 + " " + mail
+    rows = [(1, text, "a", "b"), (2, None, "a", "b"), (2, "", "a", "b"), (1, text, "a", "b")]
+    got = sorted((r.doc_id, r.n_values, r.kinds, r.text or "") for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string, kinds string, n_values string"), "k").collect())
+    assert [r[:3] for r in got] == [(1, 2, "card,email")] * 2 + [(2, 0, "")] * 2
+    assert got[0] == got[1] and len(got[0][3]) == len(text) and card not in got[0][3] and mail not in got[0][3]
