@@ -10,14 +10,15 @@ join is made on the block text instead. A third of all rows in one group only me
 splittable joins.
 
 Cases: null text counts as empty; all empty texts are one group. A null doc_id loses ties. Repeated rows are separate
-rows of one group, of which one stays. An empty table gives an empty result. Extra columns are ignored.
+rows of one group, of which one stays. Texts of any length are read whole, as many blocks. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -44,9 +45,10 @@ def _named(rows: DataFrame, cols: list[str]) -> DataFrame:
     return rows.select(*cols).distinct().sortWithinPartitions(*cols).withColumn("name", F.monotonically_increasing_id())
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keys: Callable[[Column], list[Column]] = block_keys) -> DataFrame:
-    """One row per document: rid (of the row), doc_id, chars (code points), text_sha256, level and name (its identity)."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("norm", normalised(F.col("text")))
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keys: Callable[[Column], list[Column]] = block_keys, rid: Column | None = None) -> DataFrame:
+    """One row per document: rid (of the row; numbered here if not given), doc_id, chars (code points), text_sha256, level and name (its identity)."""
+    rid = F.monotonically_increasing_id() if rid is None else rid
+    base = docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("norm", normalised(F.col("text")))
     distinct = _named(base.select(F.explode(_blocks(F.col("norm"), block)).alias("block")), ["block"])
     n_keys = len(keys(F.lit("")))
     on = [f"k{i}" for i in range(n_keys)]
@@ -57,7 +59,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         names, on = materialize(distinct, "block-names"), ["block"]
 
     occ = base.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.sha2(F.col("norm"), 256).alias("text_sha256"), _blocks(F.col("norm"), block).alias("blocks")
+        "rid", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.sha2(F.col("norm"), 256).alias("text_sha256"), _blocks(F.col("norm"), block).alias("blocks")
     )
     first = F.col("pos") == 0
     occ = occ.select("rid", "doc_id", "chars", "text_sha256", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
@@ -91,18 +93,15 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keys: Callable[[Column], list[Column]] = block_keys) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, chars.
-
-    Of equal texts the row with the most code points in its original text stays, then the one with the smallest doc_id.
-    """
-    ident = identities(docs, id_col, text_col, block, keys)
+def _judged(ident: DataFrame) -> DataFrame:
+    """The rows of identities() with keep_id, group_size and kept."""
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))).alias("best")
     groups = ident.groupBy("level", "name").agg(F.count(F.lit(1)).alias("size"), best).filter("size > 1")
     groups = materialize(groups.select("level", "name", "size", F.col("best.d").alias("keep"), F.col("best.r").alias("keep_rid")), "groups")
     out = ident.join(groups, ["level", "name"], "left")
     alone = F.col("size").isNull()
     return out.select(
+        "rid",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
@@ -112,11 +111,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keys: Callable[[Column], list[Column]] = block_keys) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, chars.
+
+    Of equal texts the row with the most code points in its original text stays, then the one with the smallest doc_id.
+    """
+    return _judged(identities(docs, id_col, text_col, block, keys)).drop("rid")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Of rows alike in id, length and text any one stays."""
-    key = ["_gl_id", "_gl_sha", "_gl_chars"]
-    kept = exact_dedup(docs, id_col, text_col).filter("kept")
-    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key[0]), F.col("text_sha256").alias(key[1]), F.col("chars").alias(key[2]))
-    rows = docs.withColumns({key[0]: F.coalesce(F.col(id_col).cast("string"), F.lit("")), key[1]: F.sha2(normalised(F.col(text_col)), 256), key[2]: F.length(F.coalesce(F.col(text_col), F.lit("")))})
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    return rows.join(kept, key).withColumn("_gl_nth", nth).filter("_gl_nth = 1").select(*docs.columns)
+    """The documents that stay, with all their columns: the rows are numbered and written once, so that those that stay are found by their number."""
+    rid = "_gl_rid"
+    rows = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    kept = _judged(identities(rows, id_col, text_col, rid=F.col(rid))).filter("kept").select(F.col("rid").alias(rid))
+    return rows.join(kept, rid, "left_semi").select(*docs.columns)

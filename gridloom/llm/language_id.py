@@ -7,7 +7,8 @@ to the workers. They score a slice of documents at a time: its n-grams are one s
 gathered from each language's row and summed by document, `ENTRIES` of them at once, so that memory is bounded for texts of any length.
 
 `margin` is the log-likelihood of the best language, by n-gram, above that of a background that knows nothing (every
-bucket alike). It does not depend on the text's length. Below 0 a text looks like none of the learned languages.
+bucket alike). It does not depend on the text's length. Below MIN_MARGIN a text looks like none of the learned languages: other
+scripts and random letters are below 0, their relatives a little above.
 
 Cases: null text or text without a letter: `und`, score and margin 0. With no training rows at all every document is `und`.
 Null languages and texts are not learned from. A null doc_id is in neither fold's training and counts as not held out.
@@ -31,6 +32,8 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 MAX_MODEL_BYTES = 256 << 20
 ENTRIES = 1 << 19
+#: A text whose n-grams are on average less than e times as likely as against the background is in none of the learned languages.
+MIN_MARGIN = 1.0
 FOLDS = 5
 
 _letters: list[np.ndarray] = []

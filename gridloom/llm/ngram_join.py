@@ -38,7 +38,7 @@ SHINGLE = 5
 THRESHOLD = (4, 5)  # as a fraction
 HASHES, BAND = 128, 4
 STEP = 16
-TOLERANCE = 1e-12  # a pair at exactly the threshold is then dropped with probability 1e-11
+TOLERANCE = 1e-9  # a pair at exactly the threshold is then dropped with probability 2e-9, far below that of no shared band
 LARGE = 32  # nodes that share a bucket of more members than this are a group
 BLOCK = 512  # members of a group that one side of a task holds, on average
 BLOCK_SHINGLES = 1 << 22  # and their shingles (32 MB), so that very long texts make smaller blocks
@@ -400,9 +400,12 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The documents with all their columns, one of each class: that with the smallest doc_id. All documents without words stay."""
     rows, nodes = near_links(docs, id_col, text_col)
     rows = rows.join(nodes, "fp", "left").filter((F.col("n") == 0) | ((F.col("fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("class_id"))))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = rows.select(key.alias("_gl_id"), F.col("fp").alias("_gl_fp")).distinct()
-    named = with_fingerprint(docs, text_col, "_gl_fp").withColumn("_gl_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+
+    def key(c: str) -> Column:
+        return F.when(F.col(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+
+    kept = rows.select(key("doc_id").alias("_gl_id"), F.col("fp").alias("_gl_fp")).distinct()
+    named = with_fingerprint(docs, text_col, "_gl_fp").withColumn("_gl_id", key(id_col))
     # texts without words have one fingerprint but are no copies of each other: each has a number of its own
     worded = F.col("_gl_fp") != F.lit(fingerprint(np.empty(0, np.uint64)))
     named = named.withColumn("_gl_row", F.when(worded, F.lit(-1)).otherwise(F.monotonically_increasing_id()))

@@ -211,3 +211,56 @@ def test_pii_reads_very_long_texts_whole(spark):
     got = sorted((r.doc_id, r.n_values, r.kinds, r.text or "") for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string, kinds string, n_values string"), "k").collect())
     assert [r[:3] for r in got] == [(1, 2, "card,email")] * 2 + [(2, 0, "")] * 2
     assert got[0] == got[1] and len(got[0][3]) == len(text) and card not in got[0][3] and mail not in got[0][3]
+
+
+def odd_rows():
+    rnd = random.Random(3)
+    prose = lambda n: " ".join("".join(rnd.choices(["re", "tion", "an", "th", "es"], k=rnd.randrange(1, 4))) for _ in range(n))
+    long = prose(30_000)
+    rows = [(i, prose(rnd.randrange(8, 60)), "en") for i in range(60)]
+    rows += [(100, None, None), (101, "", "en"), (102, "12 34 !", "en"), (None, None, "en"), (103, long, None), (104, long, "en"), (103, long, None), (None, rows[3][1], "en"), (105, rows[4][1] + " ", "en"), (106, rows[5][1], None)]
+    return rows + [(110, "Это текст на русском языке о погоде", None), (111, "这是一个关于天气的中文文本", None), (112, "".join(rnd.choices("bcdfghjklmnpqrvwxz", k=400)), None)], rnd
+
+
+def test_every_stage_handles_odd_rows(spark):
+    import corpus_pipeline
+
+    rows, _ = odd_rows()
+    kinds = "doc_id long, text string, lang string, lang_pred string, N_Hit string, _gl_rid string, fp string, n_shingles int"
+    sf = "/root/testdata/sf0.001"
+    docs = spark.createDataFrame([(*r, f"p{k}", "h", "r", "f", k) for k, r in enumerate(rows)], kinds).repartition(3)
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = spark.createDataFrame(stage(spark, now, sf).collect(), docs.schema)
+        if stage is corpus_pipeline.identify_language:
+            kept = {(r.doc_id, r.text) for r in now.collect()}
+            assert {i for i, _ in kept} == {i for i, t, _ in rows} - {100, 101, 102, 110, 111, 112}
+            assert now.filter("lang IS NULL").count() == 0 and now.count() == len(rows) - 7
+    assert sorted(now.columns) == sorted(docs.columns)
+    best = {}
+    for i, t, _ in rows:
+        if (i, t) in kept:
+            n = re.sub(r"[\x20\x09-\x0D]", "", t)
+            best[n] = min(best.get(n, (1, True, 0)), (-len(t), i is None, i or 0))
+    assert sorted((b[2] for b in best.values())) == sorted(r.doc_id or 0 for r in now.collect())
+    last = corpus_pipeline.encode(spark, now, sf).collect()
+    assert len(last) == len(best) and all(r.n_tokens > 0 for r in last)
+
+
+def test_stages_pass_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.count() == 0
+        assert name == "bpe" or out.columns == docs.columns
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_language_stage_keeps_all_clean_documents(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}

@@ -413,9 +413,15 @@ def test_pipeline_stages_match_brute_force(spark):
     assert steps["ngram_jaccard_join"] == sorted(int(i) for i, c, *_ in near if i == c)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     wins = {" ".join(w) for _, t in items for w in [words(t)[k : k + 10] for k in range(max(1, len(words(t)) - 9))]}
-    clean = [i for i in steps["ngram_jaccard_join"] if not any(f" {w} " in f" {' '.join(words(texts[i]))} " for w in wins)]
+    joined = {i: f" {' '.join(words(texts[i]))} " for i in steps["ngram_jaccard_join"]}
+    clean = [i for i in steps["ngram_jaccard_join"] if not any(f" {w} " in joined[i] for w in wins)]
     assert steps["benchmark_decontamination"] == clean
-    assert corpus_pipeline.encode(spark, now, sf).count() == len(clean)
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [(i, lib.encode(texts[i], add_special_tokens=False).ids) for i in clean]
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.encode(spark, now, sf).collect())
+    assert got == [(i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in want]
 
 
 def test_pii_finds_addresses_with_letters_of_any_script():
@@ -439,4 +445,4 @@ def test_pruning_hardly_ever_loses_a_pair_at_the_threshold():
                 new[m + k] = new.get(m + k, 0) + p * comb(ngram_join.STEP, k) * t**k * (1 - t) ** (ngram_join.STEP - k)
         lost += sum(p for m, p in new.items() if m < least[n])
         live = {m: p for m, p in new.items() if m >= least[n]}
-    assert lost < 1e-10
+    assert lost < 1e-8 and min(least.values()) > 0  # every step can prune
