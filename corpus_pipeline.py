@@ -1,7 +1,11 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
 language ID -> exact dedup -> n-gram Jaccard join -> benchmark decontamination -> BPE encoding and decoding.
-Each stage works on all that the stage before it kept, whole texts, with the operator's production parameters.
+Each stage works on all that the stage before it kept, whole texts of any length, with the operator's production parameters.
+
+Cases, beside those of the operators: rows without a doc_id are kept or dropped by their text like any other; repeated rows
+are copies, of which one stays; of tied copies that with the smallest doc_id stays. Empty tables pass all stages as empty
+tables. Further columns, those named as an operator's own too, go through unchanged.
 """
 
 from __future__ import annotations
@@ -23,11 +27,16 @@ def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[Co
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (null and empty texts too) go. The score is no ground to drop others: it only tells the learned languages apart, and is low for clean short texts."""
+    """Documents without a letter (null and empty texts too) go, and those that look like none of the learned languages: other scripts, random letters.
+
+    The margin that decides does not depend on a text's length, so clean short texts stay. A document without lang gets the
+    predicted one. With nothing to learn from, every document goes.
+    """
     learned = docs.filter(F.col("doc_id").isNotNull() & ~language_id.held_out(F.col("doc_id")))
-    rows, back = set_aside(docs, ["lang_pred", "score"])
+    rows, back = set_aside(docs, ["lang_pred", "score", "margin"])
     judged = language_id.identify(rows, language_id.train(learned))
-    return judged.filter(F.col("lang_pred") != "und").select(*back)
+    judged = judged.filter((F.col("lang_pred") != "und") & (F.col("margin") >= language_id.MIN_MARGIN))
+    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*back)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
