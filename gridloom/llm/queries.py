@@ -79,6 +79,35 @@ _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 _CHAT_WORDS = rf"""list_filter(regexp_extract_all(regexp_replace(s, '([{_SPACE}]+)([{_SPACE}][^{_SPACE}])', '\1' || chr(1) || '\2', 'g'),
   '''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}\x01]+|[{_SPACE}]+|\x01'), lambda x: x <> chr(1))"""
 
+def _license_sql() -> str:
+    """The whole scan in SQL: every document's words, the same index, and every place that two anchors agree on."""
+    rows = [(t, p, w, label, p in license_scan.key_places(passage.split(" "), key.split(" "))) for t, (label, passage, key) in enumerate(license_scan.TEMPLATES) for p, w in enumerate(passage.split(" "))]
+    tpl = ", ".join(f"({t}, {p}, '{w}', '{label}', {must})" for t, p, w, label, must in rows)
+    phrases = ", ".join(f"({len(p.split(' '))}, '{p}', '{label}')" for p, label in license_scan.BASE.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+tpl AS (SELECT * FROM (VALUES {tpl}) v(t, p, w, label, must)),
+phrase AS (SELECT * FROM (VALUES {phrases}) v(n, s, label)),
+base AS (SELECT rid, label, i FROM (SELECT rid, w, label, n, s, unnest(range(0, len(w) - n + 1)) AS i FROM d, phrase) WHERE array_to_string(w[i + 1:i + n], ' ') = s),
+wp AS (SELECT rid, i - 1 AS i, w[i] AS w FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT w FROM tpl)),
+df AS (SELECT w, count(DISTINCT rid) AS n FROM wp GROUP BY w),
+word AS (SELECT t, w, coalesce(n, 0) AS n, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT t, w FROM tpl) LEFT JOIN df USING (w)),
+total AS (SELECT t, sum(idf) AS total FROM tpl JOIN word USING (t, w) GROUP BY t),
+rare AS (SELECT t, w, n FROM word QUALIFY row_number() OVER (PARTITION BY t ORDER BY n, w) <= {license_scan.RARE}),
+held AS (SELECT DISTINCT rid, t, wp.w, n FROM wp JOIN rare ON rare.w = wp.w),
+gate AS (SELECT rid FROM held GROUP BY rid HAVING count(DISTINCT w) > 1),
+anchor AS (SELECT rid, t, w FROM held WHERE rid IN (SELECT rid FROM gate) QUALIFY row_number() OVER (PARTITION BY rid, t ORDER BY n, w) <= {license_scan.ANCHORS}),
+place AS (SELECT a.rid, a.t, wp.i - tpl.p AS o FROM anchor a JOIN wp ON wp.rid = a.rid AND wp.w = a.w JOIN tpl ON tpl.t = a.t AND tpl.w = a.w GROUP BY ALL HAVING count(DISTINCT a.w) > 1),
+found AS (SELECT pl.rid, pl.t, any_value(label) AS label, round(sum(CASE WHEN wp.w IS NOT NULL THEN idf / total ELSE 0 END), 6) AS share, bool_and(wp.w IS NOT NULL OR NOT must) AS whole
+  FROM place pl JOIN tpl ON tpl.t = pl.t JOIN word ON word.t = pl.t AND word.w = tpl.w JOIN total ON total.t = pl.t LEFT JOIN wp ON wp.rid = pl.rid AND wp.i = pl.o + tpl.p AND wp.w = tpl.w GROUP BY pl.rid, pl.t, pl.o),
+lab AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION SELECT rid, label FROM found WHERE whole AND share >= {license_scan.SHARE}) GROUP BY rid),
+bs AS (SELECT rid, count(*) AS n, min(i) AS a, max(i) AS z, (SELECT string_agg(x, ',' ORDER BY x) FROM unnest(list(DISTINCT label)) u(x)) AS labels FROM base GROUP BY rid),
+sc AS (SELECT rid, least(1, max(share)) AS score FROM found GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(bs.n, 0)::BIGINT AS n_base, bs.a::BIGINT AS first_word, bs.z::BIGINT AS last_word, coalesce(bs.labels, '') AS base_labels, coalesce(lab.labels, '') AS labels,
+  CASE WHEN bs.n > 0 THEN 1 ELSE coalesce(sc.score, 0) END::DOUBLE AS score
+FROM d LEFT JOIN bs USING (rid) LEFT JOIN lab USING (rid) LEFT JOIN sc USING (rid)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -140,4 +169,5 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ite
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op10_license_scan": _license_sql(),
 }
