@@ -211,7 +211,7 @@ class Grid:
         west, south, east, north = map(float, bbox)
         if south > north:
             raise ValueError("bbox south must not be greater than north")
-        none = ValueError("bbox does not intersect the grid")
+        none = ValueError("the box and the grid have no cell in common")
         if not self.projection.is_latlon:
             if west > east:
                 raise ValueError("bbox must not cross the dateline on projected grids")
@@ -241,13 +241,3 @@ class Grid:
     @classmethod
     def from_dict(cls, d: dict) -> Grid:
         return cls(Projection(**d["projection"]), d["nx"], d["ny"])
-
-
-def fractional_indices(grid: Column | str, lon: Column, lat: Column, params: list[Grid]) -> tuple[Column, Column]:
-    """Indices where the grid varies by row: `grid` numbers the entries of a short list."""
-    g = F.col(grid) if isinstance(grid, str) else grid
-    x = y = F.lit(None).cast("double")
-    for i, p in enumerate(params):
-        px, py = p.fractional_indices(lon, lat)
-        x, y = F.when(g == i, px).otherwise(x), F.when(g == i, py).otherwise(y)
-    return x, y

@@ -38,11 +38,6 @@ def wrap_lon(lon: Column) -> Column:
     return F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
 
 
-def nint(x: Column) -> Column:
-    """The nearest integer, halves away from zero."""
-    return F.when(x >= 0, F.floor(x + 0.5)).otherwise(F.ceil(x - 0.5))
-
-
 def scientific(x: Column) -> Column:
     """A number in 14 characters with a mantissa in [0.1, 1), e.g. ` 0.5039370E+00`."""
     e = F.floor(F.log10(F.abs(x))) + 1

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Axis flags, the gas constant of dry air and gravity.
 SIGMA, PRESSURE, TERRAIN, HYBRID = 1, 2, 3, 4
 R_DRY, GRAVITY = 287.05, 9.80665
+#: CF standard name and units of the level coordinate of each axis, and of the spatial coordinates: fixed values.
+LEVEL_ATTRS = {SIGMA: ("atmosphere_sigma_coordinate", "1"), PRESSURE: ("air_pressure", "hPa"), TERRAIN: ("height", "m"), HYBRID: ("atmosphere_hybrid_sigma_pressure_coordinate", "1")}
 #: Name of the physical level coordinate of each axis.
 COORDINATE = {SIGMA: "sigma", PRESSURE: "pressure", TERRAIN: "height", HYBRID: "sigma"}
 
@@ -38,7 +40,13 @@ def hypsometric(df: DataFrame, by: list[str], level: str = "lev", pressure: str
     p, t = F.col(pressure), F.col(temperature)
     below_p, below_t = F.lag(p).over(w), F.lag(t).over(w)
     k = R_DRY / GRAVITY
-    step = F.when(below_p.isNull(), t * k * F.log(F.col(surface) / p)).otherwise((below_t + t) / 2 * k * F.log(below_p / p))
+    inf = float("inf")
+
+    def log_ratio(below: Column, above: Column) -> Column:
+        """A level of zero pressure is infinitely high, and what stands above it has no height."""
+        return F.when(above == 0, F.lit(inf)).when(below == 0, F.lit(-inf)).otherwise(F.log(below / above))
+
+    step = F.when(below_p.isNull(), t * k * log_ratio(F.col(surface), p)).otherwise((below_t + t) / 2 * k * log_ratio(below_p, p))
     df = df.withColumn("_dz", step)
     return df.withColumn(out, F.sum("_dz").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_dz")
 

@@ -17,7 +17,7 @@ def normalise_levels(n_levels: int, levels) -> list[int] | None:
         return None
     out = sorted({int(v) for v in ([levels] if isinstance(levels, int) else levels)})
     if not out or out[0] < 0 or out[-1] >= n_levels:
-        raise ValueError(f"levels must be between 0 and {n_levels - 1} and not empty")
+        raise ValueError(f"levels are numbered from 0 to {n_levels - 1}, and at least one is needed")
     return out
 
 
@@ -42,7 +42,7 @@ def select_records(recs: DataFrame, levels: list[int] | None = None, variables:
 def compact_levels(df: DataFrame, level_col: str = "level", out: str = "new_level") -> DataFrame:
     """Number the levels that are left from 0: distinct levels are few, so ranks are made on them and joined back."""
     ranks = df.select(level_col).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(level_col)) - 1)
-    return df.join(F.broadcast(ranks), level_col)
+    return df.join(ranks, level_col)
 
 
 def decode(loaded: DataFrame, window: GridWindow | None = None) -> DataFrame:
@@ -79,20 +79,57 @@ def cells(fields: DataFrame) -> DataFrame:
     return out.select(*rest, (F.col("y_start") + F.floor(F.col("_i") / F.col("nx"))).cast("int").alias("y"), (F.col("x_start") + F.col("_i") % F.col("nx")).alias("x"), "value")
 
 
-def field_bytes(cells_: DataFrame, nx: int, keys: list[str], y0: int = 0, x0: int = 0) -> DataFrame:
-    """Cells back to fields as little-endian float32 rows, for writing; a cell of a full field must not be missing."""
-    place = ((F.col("y") - y0) * nx + (F.col("x") - x0)).alias("i")
-    packed = cells_.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place, F.col("value").cast("float").alias("v")))).alias("a"))
+def field_bytes(cells_: DataFrame, nx: int, keys: list[str], y0: int = 0, x0: int = 0, ny: int | None = None) -> DataFrame:
+    """Cells back to fields as little-endian float32 rows, for writing. Each cell of a field must be there once, with a value."""
+    place = ((F.col("y") - y0) * nx + (F.col("x") - x0)).cast("long").alias("i")
+    packed = cells_.groupBy(*keys).agg(F.collect_list(F.struct(place, F.col("value").cast("float").alias("v"))).alias("a"))
     schema = packed.select(*keys, F.lit(None).cast("binary").alias("data")).schema
 
     def pack(batches):
         for b in batches:
-            data = [np.array([c["v"] for c in a], "<f4").tobytes() for a in b.column("a").to_pylist()]
+            data, at = [], b.column("a")
+            both = at.flatten()
+            places, values = both.field("i").to_numpy(zero_copy_only=False), both.field("v")
+            offsets = at.offsets.to_numpy() - at.offsets[0].as_py()
+            known = values.is_valid().to_numpy(zero_copy_only=False)
+            values = values.to_numpy(zero_copy_only=False)
+            for k, (start, stop) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                size = nx * ny if ny else stop - start
+                field, seen, i = np.empty(size, "<f4"), np.zeros(size, bool), places[start:stop]
+                name = {c: b.column(c)[k].as_py() for c in keys}
+                if size != stop - start or size % nx or i.min() < 0 or i.max() >= size:
+                    raise ValueError(f"{name} is no complete field of {nx} x {ny or size // nx} cells")
+                if not known[start:stop].all():
+                    raise ValueError(f"{name} has missing values")
+                seen[i] = True
+                if not seen.all():
+                    raise ValueError(f"{name} holds a cell twice and another not at all")
+                field[i] = values[start:stop]
+                data.append(field.tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(data, pa.binary())], names=[*keys, "data"])
 
     return packed.mapInArrow(pack, schema)
 
 
+def encode(fields: DataFrame, nx: int, ny: int, difference: bool = False) -> DataFrame:
+    """Fields (`data`, float32 rows) packed by the writer's encoder: codes, exponent, precision, initial and checksum; with difference, of what the packing loses."""
+    kept = [c for c in fields.columns if c != "data"]
+    schema = fields.select(*kept, F.lit(None).cast("array<int>").alias("codes"), F.lit(0).alias("exponent"), F.lit(0.0).alias("precision"), F.lit(0.0).alias("initial"), F.lit(0).alias("checksum")).schema
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for raw in b.column("data"):
+                field = np.frombuffer(raw.as_buffer(), "<f4").reshape(ny, nx)
+                p = packing.pack(field)
+                out.append(packing.residual(field, p) if difference else p)
+            codes = pa.array([np.frombuffer(p.payload, np.uint8).astype(np.int32) for p in out], pa.list_(pa.int32()))
+            new = [codes, pa.array([p.exponent for p in out], pa.int32()), pa.array([p.precision for p in out], pa.float64()), pa.array([p.initial for p in out], pa.float64()), pa.array([p.checksum for p in out], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *new], names=[*kept, "codes", "exponent", "precision", "initial", "checksum"])
+
+    return fields.mapInArrow(run, schema)
+
+
 def cube(cells_: DataFrame, variable: str, time: str = "time", level: str = "level") -> DataFrame:
     """(time, level, y, x, value) of one variable over all of its times and levels; null where a slice is absent."""
     mine = cells_.where(F.col("variable") == variable)
@@ -107,18 +144,22 @@ def surface_variables(cells_: DataFrame, level: str = "level") -> DataFrame:
     return cells_.groupBy("variable").agg(F.max(level).alias("top")).where("top = 0").select("variable")
 
 
-def dataset(cells_: DataFrame, variables: list[str], time: str = "time", level: str = "level") -> tuple[DataFrame, DataFrame]:
-    """The wide analysis view: upper-air variables keyed by (time, level, y, x), surface ones by (time, y, x).
+def dataset(cells_: DataFrame, variables: list[str], time: str = "time", level: str = "level", surface: list[str] | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The wide analysis view: upper-air variables keyed by (time, level, y, x), surface ones by (time, y, x); `keep` goes along with the time.
 
-    Level 0 slices of variables that exist aloft too are left out of the upper frame; `cells` keeps all. Naming the variables
-    lets the pivot be one aggregation without a pass to find them.
+    Level 0 slices of variables that exist aloft too are left out of the upper frame; `cells` keeps all. surface names the
+    variables that stand at level 0 only; they are looked up in the cells if it is not given. Each frame holds its own variables alone.
     """
-    tops = cells_.groupBy("variable").agg(F.max(level).alias("_top"))
-    marked = cells_.where(F.col("variable").isin(variables)).join(F.broadcast(tops), "variable")
+    if surface is None:
+        found = surface_variables(cells_.where(F.col("variable").isin(variables)), level)
+        surface = [r[0] for r in found.collect()]  # some of the named variables
+    low, high = [v for v in variables if v in surface], [v for v in variables if v not in surface]
     one = lambda v: F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v)
-    surface = marked.where("_top = 0")
-    upper = marked.where((F.col("_top") > 0) & (F.col(level) > 0))
-    return upper.groupBy(time, level, "y", "x").agg(*map(one, variables)), surface.groupBy(time, "y", "x").agg(*map(one, variables))
+    also = [F.first(c).alias(c) for c in keep]
+    upper = cells_.where(F.col("variable").isin(high) & (F.col(level) > 0)).groupBy(time, level, "y", "x")
+    ground = cells_.where(F.col("variable").isin(low)).groupBy(time, "y", "x")
+    frame = lambda g, names: g.agg(*also, *map(one, names)) if also or names else g.agg(F.lit(1).alias("_")).drop("_")
+    return frame(upper, high), frame(ground, low)
 
 
 def unpivot(wide: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:

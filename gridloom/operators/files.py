@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from gridloom.functions.projection import Grid, Projection
 from gridloom.functions.textcodec import NUMBERS
 from gridloom.operators import fields as fo
 from gridloom.operators import sampling
-from gridloom.sources import packed
+from gridloom.sources import packed, stores
 
 
 def file_info(index: DataFrame) -> tuple[Grid, list[float], int, float, str]:
@@ -38,26 +37,21 @@ def open_cells(spark: SparkSession, path, variables=None, levels=None, drop=None
     return fo.cells(fo.decode(packed.with_payload(recs), window))
 
 
-def open_dataset(spark: SparkSession, path, drop_variables=None, bbox=None, levels=None) -> tuple[DataFrame, DataFrame]:
-    """(upper, surface) wide frames of packed files."""
-    index = packed.read_index(spark, path)
-    names = [r[0] for r in packed.records(index).select("variable").distinct().orderBy("variable").collect()]
-    names = [n for n in names if n not in (drop_variables or [])]
-    return fo.dataset(open_cells(spark, path, names, levels, None, bbox), names)
-
-
 def sample_files(spark: SparkSession, path, points: DataFrame, variables, z_kind: str = "pressure", method: str = "linear", time=None) -> DataFrame:
     """Sample points from one or many packed files; each point's time picks its file."""
     index = packed.read_index(spark, path)
     grid, heights, flag, offset, _ = file_info(index)
     if not sampling.duplicate_times(index).isEmpty():
         raise ValueError("several sources hold the same time")
+    if time is None and "time" not in points.columns:  # sources of a single time need no time of the points
+        held = [r["time"] for r in index.select("time").distinct().limit(2).collect()]
+        time = held[0] if len(held) == 1 else None
     pts = sampling.normalise_points(points, time)
     if gone := sampling.missing_times(pts, index).orderBy("time").first():
         raise ValueError(f"no source holds the time {gone['time']}")
     names = fo.normalise_variables(variables)
     want = {n for n in names if n != "pressure"} | {*sampling.needs(flag, z_kind, "pressure" in names and z_kind != "pressure")}
-    recs = packed.records(index).join(F.broadcast(pts.select("time").distinct()), "time", "left_semi") if _few(pts) else packed.records(index).join(pts.select("time").distinct(), "time", "left_semi")
+    recs = packed.records(index).join(pts.select("time").distinct(), "time", "left_semi")
     have = recs.groupBy("time").agg(F.collect_set("variable").alias("v"))
     lacking = have.select("time", F.array_except(F.array(*map(F.lit, sorted(want))), "v").alias("m")).where(F.size("m") > 0).first() if want else None
     if lacking:
@@ -71,16 +65,15 @@ def sample_files(spark: SparkSession, path, points: DataFrame, variables, z_kind
     return sampling.sample_points(cells, pts, names, grid, heights, flag, z_kind, method, offset)
 
 
-def _few(points: DataFrame, limit: int = 10_000) -> bool:
-    """Whether the points' times are few enough to be sent to all tasks."""
-    return points.select("time").distinct().limit(limit + 1).count() <= limit
+def index_bytes(recs: DataFrame, level: str = "level") -> DataFrame:
+    """(time, used): bytes of the index record that the records of a time take, differences included."""
+    n = F.count(F.lit(1)) + F.count("diff_variable")
+    return recs.groupBy("time").agg((F.lit(158) + 8 * F.countDistinct(level) + 8 * n).alias("used"))
 
 
 def check_record_length(recs: DataFrame, record_length: int, level: str = "level") -> None:
     """The index of every time, differences included, must fit in a record of the new grid."""
-    n = F.count(F.lit(1)) + F.count("diff_variable")
-    used = recs.groupBy("time").agg((F.lit(158) + 8 * F.countDistinct(level) + 8 * n).alias("used"))
-    if bad := used.where(F.col("used") > record_length).first():
+    if bad := index_bytes(recs, level).where(F.col("used") > record_length).first():
         raise ValueError(f"an index of {bad['used']} bytes exceeds the record length {record_length}")
 
 
@@ -108,7 +101,7 @@ def extract_subset(spark: SparkSession, source: str, dest: str, bbox=None, level
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(values, pa.binary())], names=[*names, "data"])
 
     out = data.mapInArrow(raw, schema).withColumn("level", number[F.col("level")]).withColumn("file", F.lit(os.path.basename(dest)))
-    packed.write_packed(out, os.path.dirname(os.path.abspath(dest)), sub, [heights[i] for i in keep], flag, sid, offset)
+    packed.write_packed(out, stores.folder_of(dest), sub, [heights[i] for i in keep], flag, sid, offset)
     return dest
 
 
@@ -119,52 +112,84 @@ def concat_plan(index: DataFrame, sort: bool = True) -> DataFrame:
     return per.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("given")
 
 
+def _axis():
+    return F.struct("vertical_flag", "offset", F.transform("levels", lambda v: v["height"]).alias("h"))
+
+
+def _check_joinable(index: DataFrame, by: str) -> None:
+    """Files that are joined (the same `by`) must agree in grid, axis and source, and hold each time once."""
+    _require(index)
+    n = index.groupBy(by).agg(F.countDistinct("grid").alias("grid"), F.countDistinct(_axis()).alias("vertical axis"), F.countDistinct("source").alias("source"))
+    for what in ("grid", "vertical axis", "source"):
+        if not n.where(F.col(what) > 1).isEmpty():
+            raise ValueError(f"the sources differ in {what}")
+    if twice := index.groupBy(by, "time").count().where("count > 1").first():
+        raise ValueError(f"time {twice['time']} is in several sources")
+
+
+def _join_files(spark: SparkSession, jobs: list[tuple[str, list[str]]]) -> list[str]:
+    """Join the files of each destination on the executors, one task a destination; a lost task starts again under a new temporary name."""
+
+    def run(batches):
+        for b in batches:
+            for dest, paths in zip(b.column("dest").to_pylist(), b.column("paths").to_pylist(), strict=True):
+                stores.append_files(paths, dest)
+            yield b.select(["dest"])
+
+    plan = spark.createDataFrame(jobs, "dest string, paths array<string>").repartition(max(1, len(jobs)), "dest")
+    plan.mapInArrow(run, "dest string").collect()  # one name a destination
+    return [dest for dest, _ in jobs]
+
+
 def concat(spark: SparkSession, sources: list[str], destination: str, sort: bool = True) -> str:
     """Join files byte by byte, by earliest time or as given, after checking that they fit together."""
     if isinstance(sources, (str, os.PathLike)):
         raise TypeError("sources must be a list of paths")
-    sources = [os.fspath(s) for s in sources]
+    sources, destination = [os.fspath(s) for s in sources], os.fspath(destination)
     if not sources:
         raise ValueError("there is nothing to join")
-    if os.path.abspath(destination) in map(os.path.abspath, sources):
+    names = [stores.store_of(s)[1] for s in sources]
+    if stores.store_of(destination)[1] in names:
         raise ValueError("the destination must not be one of the sources")
-    if empty := [s for s in sources if os.path.getsize(s) == 0]:
+    if empty := [s for s in sources if stores.size_of(s) == 0]:
         raise ValueError(f"{empty[0]} holds no records")
-    index = packed.read_index(spark, sources)
-    _require(index)
-    axis = F.struct("vertical_flag", "offset", F.transform("levels", lambda v: v["height"]).alias("h"))
-    n = index.agg(F.countDistinct("grid").alias("grid"), F.countDistinct(axis).alias("vertical axis"), F.countDistinct("source").alias("source")).first()
-    for what in ("grid", "vertical axis", "source"):
-        if n[what] > 1:
-            raise ValueError(f"the sources differ in {what}")
-    if twice := index.groupBy("time").count().where("count > 1").first():
-        raise ValueError(f"time {twice['time']} is in several sources")
     given = spark.createDataFrame(list(zip(sources, range(len(sources)), strict=True)), "path string, place int")
+    index = packed.read_index(spark, sources)
+    _check_joinable(index.withColumn("bin", F.lit(0)), "bin")
     order = [r["path"] for r in concat_plan(index.join(given, "path"), sort).orderBy("place").collect()]
-    part = destination + ".tmp"
-    try:
-        with open(part, "wb") as dst:
-            for s in order:
-                with open(s, "rb") as src:
-                    shutil.copyfileobj(src, dst, 8 << 20)
-        os.replace(part, destination)
-    finally:
-        if os.path.exists(part):
-            os.remove(part)
-    return destination
+    return _join_files(spark, [(destination, order)])[0]
+
+
+def time_bins(first: DataFrame, freq: str = "1 day", time_range=None) -> DataFrame:
+    """(bin, files) of files with their first time (path, time): those of the closed range, by bin start, each bin's in order of time and path."""
+    if time_range:
+        first = first.where(F.col("time").between(*[F.lit(t).cast("timestamp_ntz") for t in time_range]))
+    return first.groupBy(F.window("time", freq).start.alias("bin")).agg(F.sort_array(F.collect_list(F.struct("time", "path"))).alias("files"))
 
 
 def concat_by_time(spark: SparkSession, directory: str, output_directory: str, freq: str = "1 day", pattern: str = "*", time_range=None, template: str = "%Y%m%d", sort: bool = True) -> list[str]:
-    """Join a folder's files in bins of their first stored time. The file name of a bin is its start in `template`."""
+    """Join a folder's files in bins of their first stored time, one task a bin. The file name of a bin is its start in `template`."""
     files = packed.list_files(directory, pattern)
     if not files:
         raise ValueError(f"no file matches {pattern!r}")
     first = packed.read_index(spark, files, first_only=True).select("path", "time")
-    if time_range:
-        first = first.where(F.col("time").between(*[F.lit(t).cast("timestamp_ntz") for t in time_range]))
-    bins = first.groupBy(F.window("time", freq).start.alias("bin")).agg(F.sort_array(F.collect_list(F.struct("time", "path"))).alias("files")).orderBy("bin").collect()
+    bins = time_bins(first, freq, time_range).orderBy("bin").collect()  # the file list
     names = [b["bin"].strftime(template) for b in bins]
     if len({*names}) < len(names):
         raise ValueError("two bins have the same file name; use a finer template")
-    os.makedirs(output_directory, exist_ok=True)
-    return [concat(spark, [f["path"] for f in b["files"]], os.path.join(output_directory, name), sort) for b, name in zip(bins, names, strict=True)]
+    jobs = [(f"{os.fspath(output_directory).rstrip('/')}/{name}", [f["path"] for f in b["files"]]) for b, name in zip(bins, names, strict=True)]
+    if not jobs:
+        return []
+    given = [(p, k, dest) for dest, paths in jobs for k, p in enumerate(paths)]
+    if {stores.store_of(d)[1] for d, _ in jobs} & {stores.store_of(p)[1] for p, *_ in given}:
+        raise ValueError("the destination must not be one of the sources")
+    binned = packed.read_index(spark, [p for p, *_ in given]).join(spark.createDataFrame(given, "path string, place int, dest string"), "path")
+    _check_joinable(binned, "dest")
+    if sort:  # by the earliest time of a file, which need not be its first
+        order = concat_plan(binned).select("path", F.col("place").alias("nth"))
+        nth = {r["path"]: r["nth"] for r in order.collect()}
+        jobs = [(dest, sorted(paths, key=nth.__getitem__)) for dest, paths in jobs]
+    else:
+        at = {p: k for k, p in enumerate(files)}
+        jobs = [(dest, sorted(paths, key=at.__getitem__)) for dest, paths in jobs]
+    return _join_files(spark, jobs)

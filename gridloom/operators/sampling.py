@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import vertical
 from gridloom.functions.projection import Grid
+from gridloom.sources.stores import materialize
 
 METHODS, KINDS = ("linear", "nearest"), ("native", "pressure", "agl", "msl")
 SURFACE = ("PRSS", "SHGT")
@@ -26,8 +27,8 @@ def normalise_points(points: DataFrame, time=None, key: str = "pid") -> DataFram
         points = points.withColumn("time", F.lit(time).cast("timestamp_ntz"))
     elif time is not None:
         points = points.withColumn("time", F.coalesce("time", F.lit(time).cast("timestamp_ntz")))
-    if key not in points.columns:
-        points = points.withColumn(key, F.monotonically_increasing_id())
+    if key not in points.columns:  # written, since the points are read twice and their numbers must not change
+        points = materialize(points.withColumn(key, F.monotonically_increasing_id()), "points")
     return points.withColumns({c: F.col(c).cast("double") for c in ("lon", "lat", "z")})
 
 
@@ -78,7 +79,8 @@ def bracket(rows: DataFrame, by: list[str], coord: str = "coord", z: str = "z",
     aggregation does both.
     """
     c, v, lv = F.col(coord), F.col(value), F.col(level)
-    ok = c.isNotNull() & v.isNotNull() & ~F.isnan(c) & ~F.isnan(v)
+    finite = (c > float("-inf")) & (c < float("inf"))  # NaN is above infinity
+    ok = F.coalesce(finite & v.isNotNull() & ~F.isnan(v), F.lit(False))
     below, above = ok & (c <= F.col(z)), ok & (c >= F.col(z))
     got = rows.groupBy(*by).agg(
         F.max(F.when(below, F.struct(c.alias("c"), (-lv).alias("l"), v.alias("v")))).alias("lo"),

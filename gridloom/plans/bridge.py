@@ -61,6 +61,41 @@ def points(spark: SparkSession, sf_dir: str, kind: str = "pressure") -> DataFram
     )
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def packed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the view as packed files, one a time (view_1996 and so on), on the pressure axis; written once a session.
+
+    All but TEMP are packed without loss; TEMP has differences, and is right to a 1/64 but for its first value's seven digits.
+    Records at level 0 have no forecast, others a multiple of 3 hours and the year's rest.
+    """
+    from gridloom.operators import fields as fo
+    from gridloom.sources import packed
+    from gridloom.sources.stores import shared_path
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        folder = shared_path(spark, "packed-view")
+        order = F.when(F.col("variable") == "TEMP", 0).when(F.col("variable") == "HGTS", 1).when(F.col("variable") == "PRSS", 2).otherwise(3)
+        rows = cells(spark, sf_dir).select(F.col("time").alias("year"), "level", "variable", "y", "x", "value")
+        fields = fo.field_bytes(rows, NX, ["year", "level", "variable"], ny=NY)
+        forecast = F.when(F.col("level") == 0, F.lit(-1)).otherwise(3 * (F.col("level") - 1) + F.col("year") % 3)
+        fields = fields.select(F.concat(F.lit("view_"), F.col("year").cast("string")).alias("file"), start_of(F.col("year")).alias("time"), "level", order.alias("seq"), "variable", forecast.alias("forecast"), "data", F.when(F.col("variable") == "TEMP", F.lit("DIFT")).alias("diff_variable"))
+        packed.write_packed(fields, folder, GRID, AXES[2], 2, "VIEW")
+        _WRITTEN[key] = folder
+    return _WRITTEN[key]
+
+
+def start_of(year):
+    return F.make_timestamp_ntz(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+
+
+def snapped(value):
+    """A value to the nearest 1/64, the grain of the view."""
+    return F.round(value.cast("double") * 64) / 64
+
+
 #: The same view in SQL, as leading common table expressions.
 SQL = """
 base AS (SELECT year(l_shipdate)::INT AS t, (l_linenumber % 4)::INT AS lev, (l_suppkey % 20)::INT AS y, (l_partkey % 20)::INT AS x, count(*) AS n, sum(l_quantity)::DOUBLE / count(*) AS q

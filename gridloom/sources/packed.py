@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from gridloom.functions import packing
 from gridloom.functions.projection import Grid
 from gridloom.functions.textcodec import FIXED_BYTES, HEADER_BYTES, NUMBERS, Header, Index
+from gridloom.sources import stores
+from gridloom.sources.stores import open_input
 
 INDEX_SCHEMA = (
     "path string, rs_position long, rs_ordinal int, time timestamp_ntz, source string, forecast int, grid struct<"
@@ -32,16 +34,6 @@ INDEX_SCHEMA = (
 FIELD_INPUT = "file string, time timestamp_ntz, level int, seq int, variable string, forecast int, data binary, diff_variable string"
 
 
-def open_input(path: str):
-    """A seekable file in any store that pyarrow knows; plain paths are local or mounted."""
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        store, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-        return store.open_input_file(name)
-    return fs.LocalFileSystem().open_input_file(path)
-
-
 def read_index_at(f, position: int, size: int) -> Index | None:
     """The index record at a position; None at the end of the file."""
     f.seek(position)
@@ -60,6 +52,19 @@ def _index_row(path: str, position: int, ordinal: int, size: int, x: Index) -> t
     return (path, position, ordinal, x.time, x.source, x.forecast, (*(x.numbers[n] for n in NUMBERS[:11]), x.nx, x.ny), x.vertical_flag, x.numbers["offset"], len(x.levels), x.record_length, size, levels)
 
 
+def scan_index(path: str, first_only: bool = False):
+    """The index records of a file as rows of INDEX_SCHEMA; data records are jumped over."""
+    with open_input(path) as f:
+        size, position, ordinal = f.size(), 0, 0
+        while position < size:
+            x = read_index_at(f, position, size)
+            yield _index_row(path, position, ordinal, size, x)
+            if first_only:
+                return
+            position += x.record_length * (1 + sum(len(v) for _, v in x.levels))
+            ordinal += 1
+
+
 @dataclass
 class FilePart(InputPartition):
     path: str
@@ -77,15 +82,7 @@ class PackedReader(DataSourceReader):
         return [FilePart(p) for p in self.paths]
 
     def read(self, partition: FilePart):
-        with open_input(partition.path) as f:
-            size, position, ordinal = f.size(), 0, 0
-            while position < size:
-                x = read_index_at(f, position, size)
-                yield _index_row(partition.path, position, ordinal, size, x)
-                if self.first_only:
-                    return
-                position += x.record_length * (1 + sum(len(v) for _, v in x.levels))
-                ordinal += 1
+        yield from scan_index(partition.path, self.first_only)
 
 
 @dataclass
@@ -97,7 +94,7 @@ class PackedWriter(DataSourceWriter):
     """Rows must come in whole files, ordered by time, level and seq within a file; `write_packed` sees to that."""
 
     def __init__(self, path: str, options: dict, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+        self.path, self.overwrite = path.rstrip("/"), overwrite
         self.grid = Grid.from_dict(json.loads(options["grid"]))
         self.heights = json.loads(options["heights"])
         self.flag, self.offset, self.source = int(options["vertical_flag"]), float(options.get("offset", 0.0)), options["source"]
@@ -117,7 +114,9 @@ class PackedWriter(DataSourceWriter):
             if len(r.variable) > 4 or r.variable.startswith("DIF"):
                 raise ValueError(f"bad variable name {r.variable!r}")
             if r.data is None:
-                raise ValueError(f"{r.variable} at level {r.level} has no data")
+                raise ValueError(f"{r.variable} at level {r.level} has no data" + ("" if r.forecast in (None, -1) else "; the forecast of an empty record is -1"))
+            if r.forecast is None:
+                raise ValueError(f"{r.variable} at level {r.level} has data but no forecast")
             if (r.level, r.variable) in seen:
                 raise ValueError(f"{r.variable} appears twice at level {r.level} of {time}")
             seen.add((r.level, r.variable))
@@ -160,10 +159,9 @@ class PackedWriter(DataSourceWriter):
                 if out:
                     out.close()
                 now, times = r.file, set()
-                part = os.path.join(self.path, f".{r.file}.{uuid.uuid4().hex}.tmp")
-                os.makedirs(self.path, exist_ok=True)
-                out = open(part, "wb")
-                done.append((part, os.path.join(self.path, r.file)))
+                part = f"{self.path}/.{r.file}.{uuid.uuid4().hex}.tmp"
+                out = stores.open_output(part)
+                done.append((part, f"{self.path}/{r.file}"))
             if held and held[0].time != r.time:
                 flush()
             held.append(r)
@@ -178,16 +176,15 @@ class PackedWriter(DataSourceWriter):
             self.abort(messages)
             raise ValueError("a file was written by two tasks")
         for part, final in files:
-            if os.path.exists(final) and not self.overwrite:
+            if not self.overwrite and stores.size_of(final) is not None:
                 self.abort(messages)
                 raise FileExistsError(final)
-            os.replace(part, final)
+            stores.move(part, final)
 
     def abort(self, messages):
         for m in messages:
             for part, _ in m.files if m else []:
-                if os.path.exists(part):
-                    os.remove(part)
+                stores.remove(part)
 
 
 class PackedSource(DataSource):
@@ -215,13 +212,13 @@ def list_files(path: str | list[str], pattern: str = "*") -> list[str]:
     from pyarrow import fs
 
     out = []
-    for p in [path] if isinstance(path, str) else path:
+    for p in [path] if isinstance(path, (str, os.PathLike)) else path:
         p = os.fspath(p)
-        store, name = fs.FileSystem.from_uri(p) if "://" in p else (fs.LocalFileSystem(), p)
+        store, name = stores.store_of(p)
         info = store.get_file_info(name)
         if info.type == fs.FileType.Directory:
-            prefix = p.split("://")[0] + "://" if "://" in p else ""
-            out += sorted(prefix + x.path for x in store.get_file_info(fs.FileSelector(name)) if x.is_file and fnmatch.fnmatch(x.base_name, pattern) and not x.base_name.startswith("."))
+            scheme = p.split(":")[0] + "://" if "://" in p else ""
+            out += sorted(scheme + x.path for x in store.get_file_info(fs.FileSelector(name)) if x.is_file and fnmatch.fnmatch(x.base_name, pattern) and not x.base_name.startswith("."))
         elif info.type == fs.FileType.NotFound:
             raise FileNotFoundError(p)
         else:
@@ -245,29 +242,62 @@ def check_index(index: DataFrame) -> DataFrame:
 
 
 def records(index: DataFrame) -> DataFrame:
-    """One row per record in file order, differences attached to the record before them; no payload is read."""
+    """One row per record in file order, differences attached to the record before them; no payload is read.
+
+    Neighbours in the manifest are looked at before it is exploded, so each row carries its own entry only.
+    """
     flat = F.flatten(F.transform("levels", lambda v: F.transform(v["vars"], lambda x: F.struct(v["level"].alias("level"), v["height"].alias("height"), x["name"].alias("variable"), x["checksum"].alias("checksum"), x["reserved"].alias("reserved")))))
+    is_diff = lambda x: F.coalesce(x["variable"].startswith("DIF"), F.lit(False))
+
+    def entry(all_, x, i):
+        before, after = F.get(all_, i - 1), F.get(all_, i + 1)
+        lone = is_diff(x) & (before.isNull() | is_diff(before))
+        checked = F.when(lone, F.raise_error(F.lit("a difference record has no record before it")).cast("boolean")).otherwise(is_diff(x))
+        return F.struct(i.alias("seq"), x.alias("r"), checked.alias("diff"), F.when(is_diff(after), after["variable"]).alias("diff_variable"), F.when(is_diff(after), after["checksum"]).alias("diff_checksum"))
+
+    entries = F.transform(F.array(flat), lambda all_: F.transform(all_, lambda x, i: entry(all_, x, i)))[0]
     keep = ["path", "time", "source", F.col("forecast").alias("index_forecast"), "rs_position", "rs_ordinal", "record_length", "grid", "vertical_flag", "offset"]
-    all_ = index.withColumn("_flat", flat)
-    # neighbours in the manifest are looked at as array elements: a difference belongs to the element before it
-    rows = all_.select(*keep, F.col("_flat").alias("_all"), F.posexplode("_flat").alias("seq", "_r"))
-    after = F.try_element_at("_all", F.col("seq") + 2)
-    before = F.try_element_at("_all", F.when(F.col("seq") > 0, F.col("seq")))
-    is_diff = F.col("_r.variable").startswith("DIF")
-    lone = is_diff & (before.isNull() | before["variable"].startswith("DIF"))
-    rows = rows.withColumn("_bad", F.when(lone, F.raise_error(F.lit("a difference record has no record before it"))).otherwise(F.lit(False)))
-    has = F.coalesce(after["variable"].startswith("DIF"), F.lit(False))
-    at = F.col("rs_position") + (F.col("seq") + 1) * F.col("record_length")
-    return rows.filter(~is_diff | F.col("_bad")).select(
-        "path", "time", "source", "index_forecast", "rs_ordinal", "seq", "record_length", "grid", "vertical_flag", "offset", "_r.*", at.alias("position"), F.when(has, after["variable"]).alias("diff_variable"), F.when(has, after["checksum"]).alias("diff_checksum")
-    )
+    rows = index.select(*keep, F.explode(entries).alias("e")).filter(~F.col("e.diff"))
+    at = F.col("rs_position") + (F.col("e.seq") + 1) * F.col("record_length")
+    return rows.select("path", "time", "source", "index_forecast", "rs_ordinal", F.col("e.seq").alias("seq"), "record_length", "grid", "vertical_flag", "offset", "e.r.*", at.alias("position"), "e.diff_variable", "e.diff_checksum")
+
+
+def recordset(index: DataFrame, key) -> DataFrame:
+    """The index row of a time (a timestamp or its text), or that with an ordinal in its file; negative ordinals count from its end."""
+    if isinstance(key, int):
+        if key >= 0:
+            return index.where(F.col("rs_ordinal") == key)
+        last = index.groupBy("path").agg(F.max("rs_ordinal").alias("_last"))
+        return index.join(last, "path").where(F.col("rs_ordinal") == F.col("_last") + 1 + key).drop("_last")
+    return index.where(F.col("time") == F.lit(key).cast("timestamp_ntz"))
+
+
+def contains(index: DataFrame, time, level: int | None = None, variable: str | None = None) -> bool:
+    """Whether a time, or a record of a level and variable in it, is there; what cannot be read as a time is not."""
+    rows = index.where(F.col("time") == F.lit(str(time)).try_cast("timestamp_ntz"))
+    if level is not None or variable is not None:
+        rows = records(rows)
+        rows = rows if level is None else rows.where(F.col("level") == level)
+        rows = rows if variable is None else rows.where(F.col("variable") == variable)
+    return not rows.isEmpty()
 
 
 PAYLOAD = "forecast int, exponent int, precision double, initial_value double, payload binary, diff_exponent int, diff_precision double, diff_initial double, diff_payload binary"
 
 
-def with_payload(recs: DataFrame) -> DataFrame:
+READ_CHUNK = 64 << 20
+
+
+def dealt(recs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Records by stretches of READ_CHUNK bytes of their file, so that many tasks read one large file, each in its order."""
+    spark = recs.sparkSession
+    tasks = tasks or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return recs.repartition(tasks, "path", F.floor(F.col("position") / READ_CHUNK)).sortWithinPartitions("path", "position")
+
+
+def with_payload(recs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Fetch headers and payloads of the given records; a header that does not fit its manifest entry is an error."""
+    recs = dealt(recs, tasks)
     schema = recs.select("*", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in PAYLOAD.split(", ")]).schema
 
     def fetch(batches):

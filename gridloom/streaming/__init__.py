@@ -1,2 +0,0 @@
-"""Streaming: the engine's operators are all batch operators. Functions of DataFrames in gridloom.functions and the filters of
-gridloom.operators.fields use no batch-only feature and apply to streaming frames as they are."""

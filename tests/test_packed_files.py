@@ -11,7 +11,7 @@ from gridloom.functions import packing
 from gridloom.functions.projection import Grid, Projection, Window
 from gridloom.functions.textcodec import Header, Index, fixed, restore_year, scientific, to_letter, to_thousands
 from gridloom.operators import fields as fo
-from gridloom.operators import files, sampling
+from gridloom.operators import datasets, files, sampling
 from gridloom.sources import archive, packed
 
 GRID = Grid(Projection(90, 0, 1, 1, 0, 0, 0, 1, 1, -10, 20), 20, 20)
@@ -134,7 +134,7 @@ def test_filters_windows_and_dataset(spark, sampled):
     got = read_fields(spark, sampled, variables=["TEMP"], levels=[2], bbox=(22, -8, 25, -5))
     assert {*got} == {(T0, 2, "TEMP"), (T0 + datetime.timedelta(hours=3), 2, "TEMP")}
     assert {*got[(T0, 2, "TEMP")]} == {(y, x) for y in range(2, 6) for x in range(2, 6)}
-    upper, surface = files.open_dataset(spark, sampled, drop_variables=["HGTS"])
+    upper, surface = datasets.open_dataset(spark, sampled, drop_variables=["HGTS"])
     assert {*upper.columns} >= {"TEMP"} and "HGTS" not in upper.columns
     assert upper.count() == 2 * 2 * 400 and surface.count() == 2 * 400
     for bad in ([], [3], [-1]):
