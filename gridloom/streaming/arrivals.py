@@ -30,7 +30,7 @@ def index_stream(spark: SparkSession, folder: str, pattern: str = "*", files_per
         for row in scan_index(path):
             row = list(row)
             row[6] = dict(zip(numbers, row[6], strict=True))
-            row[13] = [{"level": i, "height": h, "vars": [{"name": n, "checksum": c, "reserved": r} for n, c, r in v]} for i, h, v in row[13]]
+            row[12] = [{"level": i, "height": h, "vars": [{"name": n, "checksum": c, "reserved": r} for n, c, r in v]} for i, h, v in row[12]]
             yield tuple(row)
 
     _grid_fields = [(f.name, f.dataType.simpleString()) for f in spark.createDataFrame([], INDEX_SCHEMA).schema["grid"].dataType]
