@@ -4,7 +4,7 @@ Training counts every n-gram of every training text (nothing is sampled): partit
 (language, bucket, count) rows are shuffled, and the languages' sums come to the driver one language at a time. The model,
 languages x buckets log-probabilities in float32, is bounded by `MAX_MODEL_BYTES` (checked before training) and broadcast
 to the workers. They score a slice of documents at a time: its n-grams are one sparse batch of (document, bucket) entries,
-gathered from each language's row and summed by document, `ENTRIES` of them at once, so that memory is bounded for texts of any length.
+gathered from each language's row and summed by document, about `ENTRIES` of them at once; texts are hashed `PART` characters at a time.
 
 `margin` is the log-likelihood of the best language, by n-gram, above that of a background that knows nothing (every
 bucket alike). It does not depend on the text's length. Below MIN_MARGIN a text looks like none of the learned languages: other
@@ -32,6 +32,7 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 MAX_MODEL_BYTES = 256 << 20
 ENTRIES = 1 << 19
+PART = 1 << 18
 #: A text whose n-grams are on average less than e times as likely as against the background is in none of the learned languages.
 MIN_MARGIN = 1.0
 FOLDS = 5
@@ -45,25 +46,36 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def ngram_buckets(text: bytes | None, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the n-grams of a text: letters lower-cased, each run of anything else one space. Empty without letters."""
-    if not text:
-        return np.empty(0, np.int64)
-    u = np.frombuffer(text.decode("utf-8").lower().encode("utf-32-le"), np.uint32)
-    letter = _is_letter()[u]
-    if not letter.any():
-        return np.empty(0, np.int64)
-    u = np.where(letter, u, 32)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    u = u[keep]
-    u = np.concatenate([[32], u if u[-1] == 32 else np.append(u, 32)]).astype(np.uint64)
-    out, code = [], np.zeros(len(u), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        code = (code[: len(u) - n + 1] << np.uint64(21)) | u[n - 1 :]
-        if n in ORDERS:
-            out.append((mix64(code + np.uint64(n << 60)) & np.uint64(buckets - 1)).astype(np.int64))
-    return np.concatenate(out)
+def _code_points(text: bytes) -> Iterator[np.ndarray]:
+    """The text in parts of at most PART characters: letters lower-cased, each run of anything else one blank, blanks at both ends. Nothing without letters."""
+    whole, started, inside = text.decode("utf-8"), False, False
+    for i in range(0, len(whole), PART):
+        u = np.frombuffer(whole[i : i + PART].lower().encode("utf-32-le"), np.uint32)
+        letter = _is_letter()[u]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= inside
+        u = np.where(letter, u, 32)[keep]
+        inside = bool(letter[-1])
+        if len(u):
+            yield u if started else np.concatenate([[32], u])
+            started = True
+    if inside:
+        yield np.array([32])
+
+
+def ngram_buckets(text: bytes | None, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of a text, in parts of bounded size; none without letters."""
+    before = np.empty(0, np.uint64)  # the last code points of the part before
+    for part in _code_points(text or b""):
+        u = np.concatenate([before, part.astype(np.uint64)])
+        for n in ORDERS:
+            v = u[max(0, len(before) - n + 1) :]
+            code = np.zeros(max(0, len(v) - n + 1), np.uint64)
+            for k in range(n):
+                code = (code << np.uint64(21)) | v[k : k + len(code)]
+            yield (mix64(code + np.uint64(n << 60)) & np.uint64(buckets - 1)).astype(np.int32)
+        before = u[len(u) - max(ORDERS) + 1 :] if len(u) >= max(ORDERS) else u
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -77,7 +89,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
         held: dict[str, np.ndarray] = {}
         for part in slices(batches, "text"):
             for text, lang in zip(as_bytes(part.column("text")), part.column("lang").to_pylist(), strict=True):
-                if len(h := ngram_buckets(text, buckets)):
+                for h in ngram_buckets(text, buckets):
                     if lang not in held:
                         held[lang] = np.zeros(buckets, np.int64)
                     held[lang] += np.bincount(h, minlength=buckets)
@@ -101,23 +113,30 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
     return langs, table
 
 
-def batch_scores(table: np.ndarray, hashed: list[np.ndarray]) -> np.ndarray:
-    """[documents, languages] log-likelihoods of documents as lists of buckets; those without any have 0."""
-    sizes = np.array([len(h) for h in hashed], np.int64)
-    out = np.zeros((len(hashed), len(table)))
-    full = np.flatnonzero(sizes)
-    if not len(full):
-        return out
-    flat = np.concatenate([hashed[i] for i in full])
-    ends = np.cumsum(sizes[full])
-    for start in range(0, len(flat), ENTRIES):
-        part = flat[start : start + ENTRIES]
-        first = int(np.searchsorted(ends, start, side="right"))
-        last = int(np.searchsorted(ends, start + len(part), side="left"))
-        cuts = np.concatenate([[0], ends[first:last] - start])
+def batch_scores(table: np.ndarray, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """[documents, languages] log-likelihoods and the n-grams of each document: sparse batches of (document, bucket) entries."""
+    out, known = np.zeros((len(texts), len(table))), np.zeros(len(texts), np.int64)
+    docs, parts, held = [], [], 0
+
+    def add() -> None:
+        flat, at = np.concatenate(parts), np.array(docs)
+        cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
         for lang, row in enumerate(table):
-            out[full[first : last + 1], lang] += np.add.reduceat(row[part], cuts, dtype=np.float64)
-    return out
+            np.add.at(out[:, lang], at, np.add.reduceat(row[flat], cuts, dtype=np.float64))
+
+    for i, text in enumerate(texts):
+        for h in ngram_buckets(text, table.shape[1]):
+            if len(h):
+                docs.append(i)
+                parts.append(h)
+                held += len(h)
+                known[i] += len(h)
+            if held >= ENTRIES:
+                add()
+                docs, parts, held = [], [], 0
+    if parts:
+        add()
+    return out, known
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -131,17 +150,16 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for part in slices(batches, text_col, 1 << 20):
-            hashed = [ngram_buckets(text, buckets) for text in as_bytes(part.column(text_col))]
-            known = np.array([len(h) for h in hashed], np.int64) if langs else np.zeros(len(hashed), np.int64)
+            texts = as_bytes(part.column(text_col))
             if langs:
-                totals = batch_scores(table, hashed)
+                totals, known = batch_scores(table, texts)
                 best = totals.argmax(axis=1)
                 top = totals[np.arange(len(best)), best]
                 conf = np.where(known > 0, 1 / np.exp(np.maximum(totals - top[:, None], -700)).sum(axis=1), 0.0)
                 margin = np.where(known > 0, top / np.maximum(known, 1) + np.log(buckets), 0.0)
                 pred = [langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
             else:
-                pred, conf, margin = ["und"] * len(hashed), np.zeros(len(hashed)), np.zeros(len(hashed))
+                pred, conf, margin = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64()), pa.array(margin, pa.float64())], names=[*part.schema.names, "lang_pred", "score", "margin"])
 
     return docs.mapInArrow(score, schema)

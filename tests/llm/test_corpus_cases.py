@@ -9,7 +9,7 @@ import re
 import public_tokenizers
 import pytest
 
-from gridloom.llm import bpe, chat, language_id, pii, warc
+from gridloom.llm import bpe, chat, language_id, license_scan, pii, queries, url_filter, warc
 
 CHAT = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -122,9 +122,20 @@ def naive_bayes_by_hand(learned, texts):
     return out
 
 
-@pytest.mark.parametrize("entries", [1 << 19, 50])
-def test_language_id_matches_naive_bayes_by_hand(spark, monkeypatch, entries):
+@pytest.mark.parametrize(("entries", "part"), [(1 << 19, 1 << 18), (50, 7), (1, 1)])
+def test_language_scores_do_not_depend_on_parts(monkeypatch, entries, part):
+    import numpy as np
+
+    table = np.random.default_rng(1).normal(size=(3, language_id.BUCKETS)).astype(np.float32)
+    texts = [None, b"", b"12", "Ab c, d. ééx".encode(), b"..a", b"a..", b"x" * 40, "中文 text 1 2".encode(), b"a b"]
+    want, n = language_id.batch_scores(table, texts)
     monkeypatch.setattr(language_id, "ENTRIES", entries)
+    monkeypatch.setattr(language_id, "PART", part)
+    got, m = language_id.batch_scores(table, texts)
+    assert np.allclose(want, got) and n.tolist() == m.tolist() and n[:3].tolist() == [0, 0, 0] and n[4] == 3 + 2 + 1
+
+
+def test_language_id_matches_naive_bayes_by_hand(spark):
     rnd = random.Random(7)
     parts = {"aa": ["the", "ing", "and", "ou"], "bb": ["ung", "sch", "ein", "ü"], "cc": ["что", "это", "не", "и"]}
     prose = lambda lang, n: " ".join("".join(rnd.choices(parts[lang], k=rnd.randrange(1, 4))) for _ in range(n)) + rnd.choice([".", "!", ""])
@@ -264,3 +275,80 @@ def test_language_stage_keeps_all_clean_documents(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+
+def licence_texts():
+    """Whole passages, and passages that vary: a word changed, put in, left out, broken off, in other texts, with a broken key phrase."""
+    rnd = random.Random(9)
+    out = [None, "", "...", "software license", "the " * 300, "permission " * 50, "cc by cc-by-sa CC BY NC", "K license cc by"]
+    for _, passage, key in license_scan.TEMPLATES:
+        w = passage.split(" ")
+        at = license_scan.key_places(w, key.split(" "))
+        free = [i for i in range(len(w)) if i not in at] or [0]
+        out += [passage, passage.upper(), "x " * 40 + ", ".join(w) + " y" * 7, " ".join(w[:3]), " ".join(w[2:]), " ".join(w[len(w) // 2 :] + w[: len(w) // 2])]
+        for _ in range(2):
+            i = rnd.choice(free)
+            out += [" ".join([*w[:i], "other", *w[i + 1 :]]), " ".join([*w[:i], "more", *w[i:]]), " ".join([*w[:i], *w[i + 1 :]])]
+        out.append(" ".join([*w[: at[0]], "broken", *w[at[0] + 1 :]]))
+    out += [" ".join(rnd.choices(" ".join(p for _, p, _ in license_scan.TEMPLATES).split(" "), k=300)) for _ in range(15)]
+    return out + ["filler words here " * 1000 + license_scan.TEMPLATES[0][1] + " all rights reserved"]
+
+
+def test_license_scan_matches_sql_on_varied_passages(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rows = [(i % 200, t) for i, t in enumerate(licence_texts())] + [(None, license_scan.TEMPLATES[1][1])]
+    got = license_scan.scan_licenses(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, words string, n_base int").repartition(3))
+    cols = sorted(got.columns)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLES['op10_license_scan']})").fetchall()
+    have = got.select(*cols).collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in have)
+
+
+def test_license_scan_labels_varied_passages_by_their_key_phrase(spark):
+    label, passage, key = license_scan.TEMPLATES[0]
+    w = passage.split(" ")
+    texts = [passage, passage.replace("merge", "join"), passage.replace("granted free", "given free"), key, "free of charge software copy", passage + " " + license_scan.TEMPLATES[2][1]]
+    filler = [f"plain text number {i} of the software and the copy" for i in range(60)]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts + filler)), "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in got}
+    assert [by[i].labels for i in range(6)] == ["mit", "mit", "", "", "", "bsd,mit"] and by[0].score == 1 and 0.9 < by[1].score < 1
+    assert all(r.labels == "" for r in got if r.doc_id > 5) and len(w) > 40
+
+
+def test_license_scan_reads_very_long_texts_whole(spark):
+    text = "filler words here " * 100_000 + license_scan.TEMPLATES[0][1] + " all rights reserved"
+    r = license_scan.scan_licenses(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")).filter("doc_id = 1").first()
+    assert (r.n_words, r.n_base, r.labels, r.first_word) == (len(text.split()), 1, "mit,reserved", len(text.split()) - 3)
+
+
+def test_url_model_on_words_it_has_not_seen(spark):
+    """Held-out figures, by words that the labelled table does not hold; and scores worked out by hand from the weights."""
+    from pyspark.sql import functions as F
+
+    trained = url_filter.labelled_urls(spark)
+    weights = url_filter.fit(trained)
+    kept = url_filter.labelled_urls(spark, held_out=True).withColumn("f", url_filter.feature_buckets(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))))
+    rows = kept.withColumn("p", url_filter.probability(F.col("f"), weights)).collect()
+    assert {r.url for r in rows}.isdisjoint(r.url for r in trained.collect())
+    for r in rows:
+        z = weights[-1] + sum(weights[i] for i in r.f) / math.sqrt(len(r.f))
+        assert abs(r.p - 1 / (1 + math.exp(-z))) < 1e-6
+    hit = sum(r.label == 1 for r in rows if r.p >= 0.5)
+    assert hit / sum(r.p >= 0.5 for r in rows) > 0.75 and hit / sum(r.label == 1 for r in rows) > 0.2
+
+
+def test_url_features_are_the_ngrams_of_host_and_path(spark):
+    from pyspark.sql import functions as F
+
+    urls = ["http://a.b/c", "http://", "x", None, "http://h" + "o" * 300_000 + "/p?q", "http://é/ü"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select(url_filter.host_of(F.col("url")).alias("h"), url_filter.path_of(F.col("url")).alias("p"))
+    for r in df.withColumn("f", url_filter.feature_buckets(F.col("h"), F.col("p"))).collect():
+        grams = {(where, t[i : i + n]) for where, t in (("host", f"^{r.h}$"), ("path", f"^{r.p}$")) for n in url_filter.SIZES for i in range(len(t) - n + 1)}
+        if len(grams) < 100:
+            want = {x[0] for x in spark.createDataFrame([*grams], "w string, g string").select(F.pmod(F.xxhash64("w", "g"), F.lit(url_filter.BUCKETS)).cast("int")).collect()} if grams else set()
+            assert {*r.f} == want
+        assert len(r.f) == len({*r.f})
