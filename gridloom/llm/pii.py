@@ -13,10 +13,9 @@ reaches over a line break. Values that fail validation (an octet over 255, the 3
 check sum) are left as they are; with numbers=True those of card length are permuted among numbers with the same error, kind
 `number`. In a run of digits with blanks and hyphens, cards are looked for first, on the boundaries of its groups (of three digits
 or more, if they are not the usual ones), so a security code, an expiry date or an address beside a card does not change its
-pseudonym. Where groups of a run could also be read as other cards, a card can get another pseudonym than alone, so that the way
-back stays open; a run of more than 64 digits (128 in fours) is read in blocks, and a card across two of them is not seen as
-one. Users of addresses without ASCII letters or digits have their signs and letters permuted within their own script. A permutation can
-map a value to itself, as rarely as it has values. Repeated rows give equal results; an empty table gives an empty result.
+pseudonym. Runs of any length are read whole. Where groups of a run could also be read as other cards, a card can get another
+pseudonym than alone, so that the way back stays open. Users of addresses without ASCII letters or digits have their signs and
+letters permuted within their own script. A permutation can map a value to itself, as rarely as it has values. Repeated rows give equal results; an empty table gives an empty result.
 Columns that clash with those added are replaced.
 """
 
@@ -28,7 +27,8 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -67,8 +67,8 @@ DIGITS, DOTTED, DECIMAL = re.compile("[0-9]+"), re.compile(_DOTTED), re.compile(
 #: Usual groups of cards, and card lengths, the likeliest first.
 GROUPINGS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
 LENGTHS = (16, 15, 14, 13, 19, 18, 17)
-#: Longer runs are read in blocks of so many digits (see _blocks), and values may reach so far behind a run.
-BLOCK, REACH = 64, 1000
+#: No window of a card has more characters, and values may reach so far behind a run.
+WIDEST, REACH = 2 * 19 - 1, 1000
 
 
 class Permuter:
@@ -298,49 +298,47 @@ def _email(p: Permuter, s: str) -> str | None:
 RULES = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone}
 
 
-def _blocks(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """A run cut between groups, by their sizes alone, into blocks of BLOCK digits; fours count half, and whole cards as one digit."""
-    out, held = [], 0
-    for m in DIGITS.finditer(text, start, end):
-        n = m.end() - m.start()
-        n = 2 if n == 4 else 1 if n >= 13 else n
-        if not out or held + n > BLOCK:
-            out.append(m.span())
-            held = n
-        else:
-            out[-1] = (out[-1][0], m.end())
-            held += n
-    return out
+def _cards(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The places of cards in a run of digits: windows of whole groups with a right check digit, the likeliest forms first.
 
-
-def _cards(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The places of cards in a run of digits: windows of whole groups with a right check digit, the likeliest forms first."""
-    groups = [m.span() for m in DIGITS.finditer(text, start, end)]
-    found = []
-    for i, (a, _) in enumerate(groups):
+    And the windows that have a wrong one and would be cards with a right one, since no likelier card lies on them.
+    """
+    starts, ends = array("q"), array("q")
+    for m in DIGITS.finditer(text, start, end):
+        starts.append(m.start())
+        ends.append(m.end())
+    # by likelihood, first and last groups in turn: few bytes for each of the many windows of a long run
+    windows: dict[tuple[bool, bool, int], array] = {}
+    for i in range(len(starts)):
         sizes: tuple[int, ...] = ()
-        for x, b in groups[i:]:
-            sizes += (b - x,)
+        for j in range(i, len(starts)):
+            sizes += (ends[j] - starts[j],)
             n = sum(sizes)
             if n > 19:
                 break
             usual = len(sizes) == 1 or sizes in GROUPINGS
-            if n < 13 or not usual and min(sizes) < 3 or DOTTED.match(text, b) or luhn(re.sub("[ -]", "", text[a:b])):
-                continue
-            found.append((DECIMAL.match(text, b) is not None, not usual, LENGTHS.index(n), a, b))
-    taken: list[tuple[int, int]] = []
-    for *_, a, b in sorted(found):
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
-    return sorted(taken)
-
-
-def _values(text: str, start: int, end: int, last: bool) -> list[tuple[str, int, int]]:
-    """Kind and place of each value that begins in a block of a run: cards, and other values between them."""
+            if n >= 13 and (usual or min(sizes) >= 3) and not DOTTED.match(text, ends[j]):
+                form = (DECIMAL.match(text, ends[j]) is not None, not usual, LENGTHS.index(n))
+                windows.setdefault(form, array("q")).extend((i, j))
+    taken, barred, used = [], [], bytearray(len(starts))
+    for form in sorted(windows):
+        for i, j in zip(windows[form][::2], windows[form][1::2], strict=True):
+            if not any(used[i : j + 1]):
+                a, b = starts[i], ends[j]
+                if luhn(re.sub("[ -]", "", text[a:b])):
+                    barred.append((a, b))
+                else:
+                    taken.append((a, b))
+                    used[i : j + 1] = b"\1" * (j + 1 - i)
+    return sorted(taken), sorted(barred)
+
+
+def _values(text: str, start: int, end: int, cards: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Kind and place of each value that begins in a run: its cards, and other values between them."""
     out, at = [], start
-    for a, b in [*_cards(text, start, end), (end, end)]:
-        stop = len(text) if a == end and last else a
-        while (m := REST.search(text, at, stop)) and m.start() < a:
+    for a, b in [*cards, (end, end)]:
+        stop = end + REACH if a == end else a
+        while at < a and (m := REST.search(text, at, stop)) and m.start() < a:
             out.append((m.lastgroup, *m.span()))
             at = m.end()
         if b > a:
@@ -349,45 +347,39 @@ def _values(text: str, start: int, end: int, last: bool) -> list[tuple[str, int,
     return out
 
 
-def _replaced(p: Permuter, text: str, values: list[tuple[str, int, int]], start: int, end: int, numbers: bool) -> tuple[str, list[str]]:
-    out, kinds, at = [], [], start
-    for kind, a, b in values:
-        new = RULES[kind](p, text[a:b])
-        if new is None and kind == "card" and numbers:
-            kind, new = "number", _number(p, text[a:b])
-        if new is not None:
-            kinds.append(kind)
-        out += [text[at:a], text[a:b] if new is None else new]
-        at = b
-    return "".join([*out, text[at:end]]), kinds
-
+def _run(p: Permuter, text: str, start: int, end: int, numbers: bool) -> tuple[str, list[str], int]:
+    """A run with its values replaced, their kinds, and the end of what was read.
 
-def _block(p: Permuter, text: str, start: int, end: int, last: bool, numbers: bool) -> tuple[str, list[str], int]:
-    """A block of a run with its values replaced, their kinds, and the end of what was read.
-
-    New digits can make a card across groups where there was none. The block is then permuted again until its values stand
-    where they stood (cycle walking, which the way back undoes).
+    New digits can make a card across groups where there was none. Values are replaced one after another, and each is permuted
+    again until no barred window on it, among the values as they then are, has a right check digit (cycle walking). So the run
+    has the same cards after each of them, and the way back undoes the last one first. All else that places values in a run is
+    the kind of its characters, which stays.
     """
-    lead = max(0, start - 1)
-    near = text[lead : end + REACH]
-    start, end = start - lead, end - lead
-    values = _values(near, start, end, last)
+    cards, barred = _cards(text, start, end)
+    values = _values(text, start, end, cards)
     stop = max([end, *(b for *_, b in values)])
-    tail = near[stop:]
-
-    # the one value whose length changes is an address at the end, which begins with the last group of the run
-    moves = bool(values) and values[-1][0] == "ip"
-    now = near
-    while True:
-        new, kinds = _replaced(p, now, values, start, len(now) - len(tail), numbers)
-        now = near[:start] + new + tail
-        again = values
-        if moves:
-            a = values[-1][1]
-            end, again = DIGITS.match(now, a).end(), [*values[:-1], ("ip", a, len(now) - len(tail))]
-        if _values(now, start, end, last) == again:
-            return new, kinds, lead + stop
-        values = again
+    now = bytearray(text[start:end], "ascii")
+    new, kinds = {}, {}
+    for i in reversed(range(len(values))) if p.back else range(len(values)):
+        kind, a, b = values[i]
+        rule, value = RULES[kind], text[a:b]
+        if kind == "card" and numbers and luhn(re.sub(r"\D", "", value)):
+            kind, rule = "number", _number
+        near = barred[bisect_left(barred, (a - WIDEST, 0)) : bisect_left(barred, (b, 0))]
+        near = [(x - start, y - start) for x, y in near if y > a]
+        while (value := rule(p, value)) is not None:
+            new[i], kinds[i] = value, kind
+            if not near:
+                break
+            # not for addresses of four octets, the only ones to change their length: no window reaches into them
+            now[a - start : b - start] = value[: end - a].encode()
+            if all(luhn(now[x:y].translate(None, b" -").decode()) for x, y in near):
+                break
+    out, at = [], start
+    for i, (_, a, b) in enumerate(values):
+        out += [text[at:a], new.get(i, text[a:b])]
+        at = b
+    return "".join([*out, text[at:stop]]), [kinds[i] for i in sorted(kinds)], stop
 
 
 def pseudonymise(text: str, p: Permuter, numbers: bool = False) -> tuple[str, list[str]]:
@@ -415,12 +407,9 @@ def _line(text: str, p: Permuter, numbers: bool) -> tuple[str, list[str]]:
             if new is not None:
                 kinds.append(kind)
             continue
-        blocks, at = _blocks(text, *m.span()), m.start()
-        for i, (a, b) in enumerate(blocks):
-            new, found, stop = _block(p, text, a, b, i == len(blocks) - 1, numbers)
-            out += [text[at:a], new]
-            kinds += found
-            at = stop
+        new, found, at = _run(p, text, *m.span(), numbers)
+        out.append(new)
+        kinds += found
     out.append(text[at:])
     return "".join(out), kinds
 
