@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, without
+from .common import WORKER_TABLES, mapped, slices, without
 
 CACHE_WORDS = 200_000
 #: Longer pieces are encoded anew each time, so that the cache stays small.
@@ -208,6 +208,7 @@ class Vocabulary:
 
 
 _loaded: dict[str, Vocabulary] = {}
+WORKER_TABLES["bpe"] = _loaded
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -232,7 +233,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 text_sha.append(hashlib.sha256(shown.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(digest, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(rows, digest, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")
 
 
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -245,7 +246,7 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str
             ids = [v.encode(t or "") for t in part.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, out_col])
 
-    return docs.mapInArrow(encode, docs.withColumn(out_col, F.lit(None).cast("array<int>")).schema)
+    return mapped(docs, encode, docs.withColumn(out_col, F.lit(None).cast("array<int>")).schema, "bpe")
 
 
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -258,4 +259,4 @@ def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str =
             texts = [v.decode(ids or []) for ids in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
-    return rows.mapInArrow(decode, rows.withColumn(out_col, F.lit("")).schema)
+    return mapped(rows, decode, rows.withColumn(out_col, F.lit("")).schema, "bpe")

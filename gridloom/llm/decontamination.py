@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, without, words_of
+from .common import as_bytes, mapped, slices, without, words_of
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -256,7 +256,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         if parts:
             yield from done()
 
-    return docs.mapInArrow(scan, schema)
+    return mapped(docs, scan, schema)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

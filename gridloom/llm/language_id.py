@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, slices, without
+from .common import as_bytes, mapped, mix64, slices, without
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -101,7 +101,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
     langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_MODEL_BYTES // (4 * buckets) + 1).collect())
     if len(langs) * buckets * 4 > MAX_MODEL_BYTES:
         raise ValueError(f"more languages than a model of {MAX_MODEL_BYTES} bytes can hold")
-    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = mapped(rows, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by_lang = counts.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
     table = np.zeros((len(langs), buckets), np.float32)
     table[:] = -np.log(buckets)  # a language whose texts have no letter
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 pred, conf, margin = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64()), pa.array(margin, pa.float64())], names=[*part.schema.names, "lang_pred", "score", "margin"])
 
-    return docs.mapInArrow(score, schema)
+    return mapped(docs, score, schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, as_bytes, discard, materialize, mix64, slices
+from .common import WORD_BYTES, as_bytes, discard, mapped, materialize, mix64, slices
 
 SHINGLE = 5
 THRESHOLD = (4, 5)  # as a fraction
@@ -44,6 +44,7 @@ BLOCK = 512  # members of a group that one side of a task holds, on average
 BLOCK_SHINGLES = 1 << 22  # and their shingles (32 MB), so that very long texts make smaller blocks
 CENTRE_SAMPLE = 64
 FILTER_BITS = 1 << 27
+SLICE = 1 << 18  # bytes of text that are shingled at once; a longer text stays whole
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _powers: list[np.ndarray] = []
@@ -51,11 +52,13 @@ _powers: list[np.ndarray] = []
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64, and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (_BASE, inverse)]
-    return _powers[0], _powers[1]
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    made = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 2 * SLICE) - 1, b, np.uint64)])) for b in (_BASE, inverse)]
+    if n <= 2 * SLICE:  # a worker keeps no table of a longer text
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -129,13 +132,13 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", SLICE):
             sets = shingle_sets(as_bytes(part.column("text")))
             sig = np.concatenate([minhash(s) for s in sets]) if sets else np.empty(0, np.int32)
             sig = pa.ListArray.from_arrays(np.arange(0, len(sig) + 1, HASHES, dtype=np.int32), pa.array(sig))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), sig], names=["doc_id", "n", "fp", "sig"])
 
-    return rows.mapInArrow(sketch, f"doc_id {kind}, n long, fp binary, sig array<int>")
+    return mapped(rows, sketch, f"doc_id {kind}, n long, fp binary, sig array<int>")
 
 
 def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", SLICE):
             fps, out = [], []
             for s in shingle_sets(as_bytes(part.column("text"))):
                 fp = fingerprint(s)
@@ -163,7 +166,7 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(out, pa.binary())], names=["fp", "set"])
 
-    made = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").mapInArrow(sets, "fp binary, set binary")
+    made = mapped(docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL"), sets, "fp binary, set binary")
     # copies of one text give one set each: they meet in a map-side combined aggregate
     made = made.groupBy("fp").agg(F.max("set").alias("set"))
     return made.join(wanted.select("node", "fp"), "fp").select("node", "set")
@@ -190,7 +193,7 @@ def _compared(rows: DataFrame, keep: list[str], numerator: int, denominator: int
                 good.append(both * denominator >= numerator * union)
             yield part.select(keep).filter(pa.array(good, pa.bool_()))
 
-    return rows.select(*keep, "set_a", "set_b").mapInArrow(compare, schema)
+    return mapped(rows.select(*keep, "set_a", "set_b"), compare, schema)
 
 
 def _balls(group: DataFrame, sets: DataFrame) -> DataFrame:
@@ -303,7 +306,7 @@ def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 live = live[m[live] >= least[n]]
             yield part.select(["a", "b"]).take(pa.array(live))
 
-    return both.mapInArrow(prune, "a long, b long")
+    return mapped(both, prune, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -389,11 +392,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def with_fingerprint(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col, 1 << 20):
+        for part in slices(batches, text_col, SLICE):
             fps = [fingerprint(s) for s in shingle_sets(as_bytes(part.column(text_col)))]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps, pa.binary())], names=[*part.schema.names, out_col])
 
-    return docs.mapInArrow(add, docs.withColumn(out_col, F.lit(None).cast("binary")).schema)
+    return mapped(docs, add, docs.withColumn(out_col, F.lit(None).cast("binary")).schema)
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
